@@ -133,3 +133,21 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         lab = new.select("u", "c")
         if new.where("c <> old").isEmpty():
             return lab.select(F.col("u").alias("node"), F.col("c").alias("component"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/svspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def lower_words(raw: bytes) -> list[bytes]:
+    """Words between ASCII spaces of UTF-8 bytes, A-Z lower-cased."""
+    return raw.translate(_FOLD).split()
