@@ -116,6 +116,6 @@ def contamination(docs: DataFrame, bench: DataFrame, max_words: int = 500_000) -
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    n_hit = (F.length("_hit") - F.length(F.translate(F.decode("_hit", F.lit("ISO-8859-1")), "\x01", ""))).cast("long")
+    n_hit = (F.length("_hit") - F.length(F.translate(F.decode("_hit", "ISO-8859-1"), "\x01", ""))).cast("long")
     return c.select("doc_id", F.length("_hit").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", F.array_sort(F.col("_items").cast("array<string>"))), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
