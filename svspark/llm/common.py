@@ -51,8 +51,6 @@ def with_next(ids: DataFrame, key: str, out: str) -> DataFrame:
             .withColumn(out, F.coalesce("_lead", "_after")).drop("_pid", "_lead", "_after"))
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -76,12 +74,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_SYMBOL = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x1234567))
+
+
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash modulo 2**64 over a random table of symbols."""
     up, _ = _powers(len(codes) + 1)
     h = np.zeros(len(codes) + 1, np.uint64)
-    c = codes.astype(np.uint64)
-    np.cumsum(mix(c * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x1234567)) * up[: len(codes)], out=h[1:])
+    if codes.dtype == np.uint8:
+        c = _SYMBOL[codes]
+    else:
+        c = mix(codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x1234567))
+    np.cumsum(c * up[: len(codes)], out=h[1:])
     return h
 
 
@@ -100,10 +104,9 @@ def word_shingles(text: str | None, size: int = 5) -> np.ndarray:
 
     A text of fewer words than ``size``, but not none, is one shingle.
     """
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
+    low = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_FOLD), np.uint8)
+    if not len(low):
         return np.zeros(0, np.uint64)
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
     gap = np.diff(np.concatenate(([1], _IS_SPACE[low].astype(np.int8), [1])))
     start, end = np.flatnonzero(gap == -1), np.flatnonzero(gap == 1)
     if not len(start):
@@ -113,7 +116,8 @@ def word_shingles(text: str | None, size: int = 5) -> np.ndarray:
     out = np.full(len(w) - k + 1, np.uint64(k))
     for j in range(k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -34,6 +34,7 @@ def gram_counts(text: str) -> np.ndarray:
     for i in range(0, len(t), SPAN):
         lead = min(i, 2)
         c = np.frombuffer(t[i - lead : i + SPAN].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        codes = []
         for n, salt in ((1, 0x9E37), (2, 0x79B9), (3, 0x7F4A)):
             if len(c) < n:
                 continue
@@ -41,7 +42,8 @@ def gram_counts(text: str) -> np.ndarray:
             for j in range(n):
                 h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            out += np.bincount((h[max(0, lead - n + 1):] >> np.uint64(48)).astype(np.int64), minlength=65536)
+            codes.append((h[max(0, lead - n + 1):] >> np.uint64(48)).astype(np.int64))
+        out += np.bincount(np.concatenate(codes), minlength=65536)
     return out
 
 
