@@ -1 +1,7 @@
-"""Part of svspark; see README.md."""
+"""Training-data operators. Their functions travel by value, so that workers need no copy of this package on their path."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
