@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, width, written
 
 MAGIC = b"SSTOKEN1"
-FOOTER = struct.Struct("<QQQQQII8s")  # index offset, size, bloom offset, size, documents, bloom hashes, id width, magic
+FOOTER = "<QQQQQII8s"  # index offset, size, bloom offset, size, documents, bloom hashes, id width, magic
 BLOCK, SHARD = 64 << 10, 64 << 20
 NULL_ID = -(1 << 63)
 
@@ -84,7 +84,7 @@ class Writer:
         for k in self.keys:
             for b in _bloom_at(k, bits, 7):
                 bloom[b >> 3] |= 1 << (b & 7)
-        self.out.write(index + bytes(bloom) + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), 7, self.width, MAGIC))
+        self.out.write(index + bytes(bloom) + struct.pack(FOOTER, self.at, len(index), self.at + len(index), len(bloom), len(self.keys), 7, self.width, MAGIC))
         self.out.close()
 
 
@@ -93,7 +93,7 @@ class Reader:
         fs, path = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        at, n, bat, bn, self.count, self.hashes, w, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        at, n, bat, bn, self.count, self.hashes, w, magic = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), size - struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         self.kind, self.width = {2: "<u2", 4: "<u4"}[w], w
