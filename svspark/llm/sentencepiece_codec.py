@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -35,7 +37,8 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.piece = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.value = {i: b for b, i in self.bytes.items()}
+        value = {i: bytes((b,)) for b, i in self.bytes.items()}
+        self.plain = [value.get(i) or p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
         self.auto, low = ahocorasick.Automaton(), 0.0
         for i, p in enumerate(self.piece):
             if p and not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
@@ -62,8 +65,9 @@ class Codec:
 
         pending = []
         for end, (n, score, i) in self.auto.iter(s):
+            if done < end:
+                bytes_until(end)
             end += 1
-            bytes_until(end - 1)
             v = best[end - n] + score
             if v > best[end]:
                 best[end], back[end] = v, (n, (i,))
@@ -89,10 +93,7 @@ class Codec:
         return out
 
     def decode(self, ids) -> str:
-        raw = bytearray()
-        for i in ids:
-            raw += bytes((self.value[i],)) if i in self.value else self.piece[i].replace(MARK, " ").encode()
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        return b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
@@ -101,8 +102,16 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         codec = Codec(model_file)
         for b in batches:
-            ids = [codec.encode(t) for t in b.column("text").to_pylist()]
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded", pa.array([codec.decode(x) for x in ids], pa.string()))
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                flat, at, decoded = array("i"), [0], []
+                for t in part.column("text").to_pylist():
+                    ids = codec.encode(t)
+                    flat.extend(ids)
+                    at.append(len(flat))
+                    decoded.append(codec.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                yield part.append_column("ids", lists).append_column("decoded", pa.array(decoded, pa.string()))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
@@ -112,9 +121,9 @@ def digest(coded: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = [np.array(x, "<u4") for x in b.column("ids").to_pylist()]
-            same = [(t or "") == d for t, d in zip(b.column("text").to_pylist(), b.column("decoded").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
+            ids, at = b.column("ids").values.to_numpy().astype("<u4"), b.column("ids").offsets.to_pylist()
+            same = pc.equal(b.column("text").fill_null(""), b.column("decoded"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:])], pa.int64()), same],
                                              ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
     return coded.select("doc_id", "text", "ids", "decoded").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
