@@ -177,3 +177,113 @@ def anti_unmatched(spark, d):
 def semi_alt_reads(spark, d):
     alt = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return read(spark, d, "orders").select("o_orderkey").join(alt, "o_orderkey", "left_semi")
+
+
+_CIGAR = "concat(CAST(l_linenumber AS {0}), 'S', CAST(l_suppkey % 90 + 10 AS {0}), 'M', CAST(l_partkey % 7 + 1 AS {0}), 'D', CAST(l_orderkey % 50 + 1 AS {0}), 'M')"
+
+
+@_query(f"WITH c AS (SELECT l_orderkey AS id, l_linenumber AS ln, {_CIGAR.format('VARCHAR')} AS cigar FROM lineitem) SELECT id, ln, cigar, CAST(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)]) AS BIGINT) AS ref_len, CAST(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[MIS=X]', 1)]) AS BIGINT) AS read_len FROM c")
+def cigar_tokens(spark, d):
+    """Reference and read lengths of a CIGAR string by its tokens."""
+    c = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.expr(_CIGAR.format("string")).alias("cigar"))
+    total = lambda ops: F.expr(f"aggregate(regexp_extract_all(cigar, '([0-9]+)[{ops}]', 1), 0L, (a, x) -> a + cast(x as bigint))")
+    return c.select("id", "ln", "cigar", total("MDN=X").alias("ref_len"), total("MIS=X").alias("read_len"))
+
+
+_BND = "CASE o_custkey % 4 WHEN 0 THEN concat('N]', p, ']') WHEN 1 THEN concat('[', p, '[N') WHEN 2 THEN concat('N[', p, '[') ELSE concat(']', p, ']N') END"
+
+
+@_query(f"WITH b AS (SELECT o_orderkey, o_custkey, concat('chr', CAST(o_custkey % 22 + 1 AS VARCHAR), ':', CAST(o_orderkey * 13 AS VARCHAR)) AS p FROM orders), a AS (SELECT o_orderkey, {_BND} AS alt FROM b) SELECT o_orderkey, alt, regexp_extract(alt, '[\\[\\]](.+):([0-9]+)[\\[\\]]', 1) AS chr2, CAST(regexp_extract(alt, '[\\[\\]](.+):([0-9]+)[\\[\\]]', 2) AS BIGINT) AS pos2 FROM a")
+def bnd_alt(spark, d):
+    """breakend ALT of the four orientations, and the mate parsed back."""
+    b = read(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "concat('chr', o_custkey % 22 + 1, ':', o_orderkey * 13) p")
+    part = lambda k: F.regexp_extract("alt", r"[\[\]](.+):([0-9]+)[\[\]]", k)
+    return b.select("o_orderkey", F.expr(_BND).alias("alt")).select("o_orderkey", "alt", part(1).alias("chr2"), part(2).cast("long").alias("pos2"))
+
+
+@_query("WITH b AS (SELECT item_id, substr(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 1, 60) AS s FROM benchmark) SELECT a.item_id, levenshtein(a.s, b.s) AS ed, CASE WHEN greatest(length(a.s), length(b.s)) > 0 THEN round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) END AS identity FROM b a JOIN b ON b.item_id = a.item_id + 1")
+def edit_identity(spark, d):
+    """1 - distance / longer length of neighbouring sequences."""
+    b = read(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 60).alias("s"))
+    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
+    longer = F.greatest(F.length("s"), F.length("t"))
+    ed = F.levenshtein("s", "t")
+    return b.join(n, "item_id").select("item_id", ed.cast("long").alias("ed"), F.when(longer > 0, F.round(1 - ed / longer, 6)).alias("identity"))
+
+
+@_query(f"WITH {G_SQL}, c AS (SELECT id, ln, (ref + alt) / 10.0::DOUBLE AS x FROM g), l AS (SELECT id, ln, list_sort([{{'a': -greatest(-0.5::DOUBLE * (x - m) * (x - m) / 0.25::DOUBLE / 2.302585092994046::DOUBLE, -1000.0::DOUBLE), 'cn': m}} FOR m IN range(10)]) AS l FROM c) SELECT id, ln, l[1].cn AS cn, round(10 * (l[2].a - l[1].a), 4) AS gq FROM l")
+def cn_likelihoods(spark, d):
+    """Normal log likelihoods of copy numbers 0 to 9 at sd 0.5; quality is best less second. No shuffle: an array per row."""
+    g = genotypes(spark, d).selectExpr("id", "ln", "(ref + alt) / 10D x")
+    l = g.withColumn("l", F.expr("array_sort(transform(sequence(0L, 9L), c -> struct(-greatest(-0.5D * (x - c) * (x - c) / 0.25D / 2.302585092994046D, -1000D) as a, c as cn)))"))
+    return l.select("id", "ln", F.expr("l[0].cn").alias("cn"), F.expr("round(10 * (l[1].a - l[0].a), 4)").alias("gq"))
+
+
+@_query(f"WITH {G_SQL}, v AS (SELECT site, sample, max(CASE WHEN alt > ref THEN 2 WHEN alt > 0 THEN 1 ELSE 0 END) AS x FROM g GROUP BY ALL), p AS (SELECT a.site, a.x AS x, b.x AS y FROM v a JOIN v b ON a.sample = b.sample AND b.site = a.site + 1), s AS (SELECT site, count(*) AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, sum(x * y)::DOUBLE AS sxy, sum(x * x)::DOUBLE AS sxx, sum(y * y)::DOUBLE AS syy FROM p GROUP BY site) SELECT site, n, CASE WHEN n < 2 OR n * sxx - sx * sx <= 0 OR n * syy - sy * sy <= 0 THEN -1.0::DOUBLE ELSE round((n * sxy - sx * sy) * (n * sxy - sx * sy) / ((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) END AS r2 FROM s")
+def dosage_r2_pairs(spark, d):
+    """Squared correlation of the dosages of neighbouring sites over shared samples; -1 without variance."""
+    v = genotypes(spark, d).groupBy("site", "sample").agg(F.max(F.expr("case when alt > ref then 2 when alt > 0 then 1 else 0 end")).alias("x"))
+    p = v.join(v.select((F.col("site") - 1).alias("site"), "sample", F.col("x").alias("y")), ["site", "sample"])
+    s = p.groupBy("site").agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).cast("double").alias(a) for a, e in (("sx", "x"), ("sy", "y"), ("sxy", "x * y"), ("sxx", "x * x"), ("syy", "y * y"))))
+    return s.selectExpr("site", "n", "case when n < 2 or n * sxx - sx * sx <= 0 or n * syy - sy * sy <= 0 then -1D else round((n * sxy - sx * sy) * (n * sxy - sx * sy) / ((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) end r2")
+
+
+@_query(f"WITH {G_SQL} SELECT id, ln, alt >= 8 OR (NOT precise AND alt >= 2) OR (ref >= 3 AND alt >= 4) AS retained, CASE WHEN role = 'R' THEN alt >= 8 OR precise OR ref * 10000 >= 200000 ELSE precise OR (alt >= 8 AND ref >= 9) END AS cnv_kept, CASE WHEN alt * 3 < 15 THEN 'LowQual' ELSE 'PASS' END AS ft FROM g")
+def allele_keep_rules(spark, d):
+    """Retained alleles, copy-number losses and gains kept, sample filter."""
+    return genotypes(spark, d).selectExpr("id", "ln", "alt >= 8 or (not precise and alt >= 2) or (ref >= 3 and alt >= 4) retained",
+        "case when role = 'R' then alt >= 8 or precise or ref * 10000 >= 200000 else precise or (alt >= 8 and ref >= 9) end cnv_kept", "case when alt * 3 < 15 then 'LowQual' else 'PASS' end ft")
+
+
+@_query(f"WITH {G_SQL}, s AS (SELECT site, min(ref) FILTER (WHERE role = 'N') AS lo, max(ref) FILTER (WHERE role = 'N') AS hi, min(ref) FILTER (WHERE role <> 'N') AS tlo, max(ref) FILTER (WHERE role <> 'N') AS thi FROM g GROUP BY site) SELECT site, coalesce(tlo <= lo - 20 OR thi >= hi + 20, FALSE) AS somatic FROM s")
+def somatic_cnv(spark, d):
+    """L3: some tumor lies at the offset or more from every control. Extremes of the controls decide, so samples never cross."""
+    n, t = F.col("role") == "N", F.col("role") != "N"
+    s = genotypes(spark, d).groupBy("site").agg(F.min(F.when(n, F.col("ref"))).alias("lo"), F.max(F.when(n, F.col("ref"))).alias("hi"), F.min(F.when(t, F.col("ref"))).alias("tlo"), F.max(F.when(t, F.col("ref"))).alias("thi"))
+    return s.select("site", F.expr("coalesce(tlo <= lo - 20 or thi >= hi + 20, false)").alias("somatic"))
+
+
+@_query(f"WITH {G_SQL} SELECT site, arg_max(id, (alt, ref, -id, -ln)) AS id, max(alt) AS score FROM g GROUP BY site")
+def best_rep_per_group(spark, d):
+    """Highest score, then quality, then first. max_by combines before the shuffle, so no group is ever sorted in one task."""
+    return genotypes(spark, d).groupBy("site").agg(F.max_by("id", F.expr("struct(alt, ref, -id, -ln)")).alias("id"), F.max("alt").alias("score"))
+
+
+@_query(f"WITH {E_SQL}, x AS (SELECT sample, abs(qual - lag(qual) OVER (PARTITION BY sample ORDER BY pos, id)) AS z FROM e) SELECT sample, greatest(round(list_sort(list(z) FILTER (WHERE z IS NOT NULL))[CAST(floor(count(z) * 0.5) AS INT) + 1] / 0.9539, 6), 0.02) AS noise FROM x GROUP BY sample")
+def adjacent_noise(spark, d):
+    """Upper median of the neighbours' differences over 0.9539, at least 0.02."""
+    w = Window.partitionBy("sample").orderBy("pos", "id")
+    x = evidence(spark, d).select("sample", F.abs(F.col("qual") - F.lag("qual").over(w)).alias("z")).groupBy("sample").agg(F.array_sort(F.collect_list("z")).alias("v"))
+    return x.select("sample", F.greatest(F.round(F.get("v", F.floor(F.size("v") / 2).cast("int")) / 0.9539, 6), F.lit(0.02)).alias("noise"))
+
+
+@_query(f"WITH {I_SQL}, b AS (SELECT DISTINCT chrom, s + 50 AS bp FROM i WHERE ln = 1) SELECT b.chrom, bp, count(*) AS spanning FROM b JOIN i ON i.chrom = b.chrom AND i.s <= bp AND bp < i.e GROUP BY ALL")
+def interval_overlap_depth(spark, d):
+    """Intervals over each breakpoint. Intervals are dealt to the bins that they touch, breakpoints to one."""
+    i = intervals(spark, d)
+    b = i.where("ln = 1").select("chrom", (F.col("s") + 50).alias("bp")).distinct().withColumn("bin", F.expr("bp div 1000"))
+    near = i.select("chrom", "s", "e", F.explode(F.sequence(F.expr("s div 1000"), F.expr("(e - 1) div 1000"))).alias("bin"))
+    return b.join(near, ["chrom", "bin"]).where("s <= bp and bp < e").groupBy("chrom", "bp").agg(F.count("*").alias("spanning"))
+
+
+@_query(f"WITH {E_SQL}, b AS (SELECT DISTINCT chrom, pos FROM e WHERE svt = 'click'), u AS (SELECT e.id, e.pos, max(b.pos) AS before FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos <= e.pos GROUP BY ALL), v AS (SELECT e.id, min(b.pos) AS after FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos >= e.pos GROUP BY ALL) SELECT id, CASE WHEN after IS NULL OR pos - before <= after - pos THEN before ELSE after END AS boundary FROM u JOIN v USING (id)")
+def nearest_boundary(spark, d):
+    """Nearest boundary, the lower on ties; one ordering per chromosome instead of a range join."""
+    w = Window.partitionBy("chrom").orderBy("pos")
+    e = evidence(spark, d).withColumn("b", F.when(F.col("svt") == "click", F.col("pos")))
+    at = e.withColumn("before", F.max("b").over(w)).withColumn("after", F.min("b").over(Window.partitionBy("chrom").orderBy("pos").rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    return at.select("id", F.expr("case when after is null or pos - before <= after - pos then before else after end").alias("boundary"))
+
+
+@_query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_discount > 0.05")
+def intersect_reads(spark, d):
+    """Reads in both evidence sets."""
+    r = read(spark, d, "lineitem")
+    return r.where("l_returnflag = 'R'").select("l_suppkey").intersect(r.where("l_returnflag = 'N' and l_discount > 0.05").select("l_suppkey"))
+
+
+@_query(f"WITH {G_SQL} SELECT id, ln, concat(CASE role WHEN 'R' THEN 'DEL' WHEN 'A' THEN 'DUP' ELSE 'INV' END, lpad(CAST(site AS VARCHAR), 8, '0')) AS name, CASE WHEN ref + alt > 0 THEN CAST(round(2.0::DOUBLE * alt / (ref + alt) * 10) AS BIGINT) ELSE -1 END AS rdcn FROM g")
+def padded_id_rdcn(spark, d):
+    """Zero-padded names; rounded depth ratio, -1 without flanks."""
+    return genotypes(spark, d).selectExpr("id", "ln", "concat(case role when 'R' then 'DEL' when 'A' then 'DUP' else 'INV' end, lpad(cast(site as string), 8, '0')) name",
+        "case when ref + alt > 0 then cast(round(2D * alt / (ref + alt) * 10) as bigint) else -1 end rdcn")

@@ -15,7 +15,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events", "documents"):
+    for t in ("orders", "lineitem", "events", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     assert rows(catalog.queries()[name](spark, DATA).toPandas()) == rows(con.sql(catalog.oracle_sql()[name]).df())
 
