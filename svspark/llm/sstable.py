@@ -16,6 +16,7 @@ by text. Rows without doc_id sort first under the smallest key.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import uuid
 import zlib
@@ -31,7 +32,7 @@ from .common import shared_dir, table, width, written
 
 MAGIC = b"SSTOKEN1"
 FOOTER = "<QQQQQII8s"  # index offset, size, bloom offset, size, documents, bloom hashes, id width, magic
-BLOCK, SHARD = 64 << 10, 64 << 20
+BLOCK, SHARD, CHUNK = 64 << 10, 64 << 20, 32
 NULL_ID = -(1 << 63)
 
 
@@ -140,6 +141,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     folder = _uri(folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; the cores belong to the other tasks
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_path)
@@ -157,9 +159,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
         for b in batches:
             names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                enc = tok.encode_batch_fast([t or "" for t in texts[lo : lo + 256]], add_special_tokens=False)
-                for i, e in zip(names[lo : lo + 256], enc):
+            for lo in range(0, len(texts), CHUNK):
+                enc = tok.encode_batch_fast([t or "" for t in texts[lo : lo + CHUNK]], add_special_tokens=False)
+                for i, e in zip(names[lo : lo + CHUNK], enc):
                     if w is None:
                         tmp = f"{base}/_{pid:08d}-{part:06d}-{ctx.taskAttemptId()}"
                         w, docs_n, toks_n = Writer(fs.open_output_stream(tmp), id_width), 0, 0
