@@ -51,6 +51,30 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_grows_with_length(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    a = " ".join(words[:37])
+    b = a.replace(words[20], "zyxwvu")
+    far = " ".join(words[:20] + words[40:57])
+    got = line_dedup.dedup_lines(frame(spark, [(1, f"{a}\nshort one\n\n"), (2, f"{b}\nshort one\n\n"), (3, far)])).collect()
+    assert {r.doc_id: r.kept for r in got} == {1: f"{a}\nshort one\n\n", 2: "\n", 3: far}
+
+
+@given(st.integers(96, 700), st.data())
+@settings(max_examples=200, deadline=None)
+def test_long_keys_meet(n, data):
+    rng = np.random.default_rng(data.draw(st.integers(0, 99)))
+    a, k = "".join(rng.choice(list("abc "), n)), line_dedup.allowed(n)
+    b = a
+    for i in range(k):
+        at = min((2 * i + 1) * n // (2 * k + 1) + data.draw(st.integers(-5, 5)), len(b))
+        b = b[:at] + data.draw(st.sampled_from(("x", "xy"))) + b[at + 1:]
+    r, key, p = line_dedup.long_keys([a, b])
+    places = [{(int(c), int(q)) for c, q in zip(key[r == j], p[r == j])} for j in (0, 1)]
+    assert any(c == d and abs(x - y) <= k for c, x in places[0] for d, y in places[1])
+
+
 @given(st.text("ab", max_size=400))
 @settings(max_examples=60, deadline=None)
 def test_suffix_classes(s):
