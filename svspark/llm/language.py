@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import table
 
 TOP, SAMPLE, SPAN = 300, 400, 1 << 20
+LOW, ENOUGH = 0.01, 100
 LETTER = re.compile(r"[^\W\d_]")
 GAPS = re.compile(r"[\W\d_]+")
 
@@ -100,6 +101,43 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def _size():
+    """Class of a text by its length: binary logarithm, at most 12; scores of short texts vary most."""
+    return F.least(F.floor(F.log2(F.greatest(F.length("text"), F.lit(1)))), F.lit(12))
+
+
+def score_floors(scored: DataFrame) -> dict[tuple[str, int], float]:
+    """Least accepted score by language and size (-1: all sizes) from rightly identified rows of ``scored``: the LOW quantile less its distance to the median.
+
+    Sizes of fewer than ENOUGH rows go without. Counting is distributed; what comes back is at most 1000 rows per language and size.
+    """
+    got = (scored.where("lang = lang_pred and lang_pred <> 'und'").groupBy("lang_pred", _size().alias("size"), F.floor(F.col("score") * 1000).alias("s")).agg(F.count("*").alias("n"))
+           .orderBy("lang_pred", "size", "s").collect())
+    by: dict[tuple[str, int], dict[int, int]] = {}
+    for r in got:
+        for key in ((r["lang_pred"], r["size"]), (r["lang_pred"], -1)):
+            h = by.setdefault(key, {})
+            h[r["s"]] = h.get(r["s"], 0) + r["n"]
+
+    def quantile(h, q):
+        left = q * (sum(h.values()) - 1)
+        for s in sorted(h):
+            left -= h[s]
+            if left < 0:
+                return s / 1000
+
+    return {k: 2 * quantile(h, LOW) - quantile(h, 0.5) for k, h in by.items() if k[1] < 0 or sum(h.values()) >= ENOUGH}
+
+
+def accepted(scored: DataFrame, floors: dict[tuple[str, int], float]) -> DataFrame:
+    """Rows of a language whose score reaches the floor of its size, or of all sizes where that has none."""
+    if not floors:
+        return scored.where("lang_pred <> 'und'")
+    of = F.create_map(*(F.lit(x) for (lang, size), v in sorted(floors.items()) for x in (f"{size} {lang}", v)))
+    at = lambda size: of[F.concat_ws(" ", size.cast("string"), "lang_pred")]
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= F.coalesce(at(_size()), at(F.lit(-1)), F.lit(0.0))))
+
+
 def held_out():
     """Null doc_ids are held out: nothing is learned from them."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))

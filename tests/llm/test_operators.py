@@ -176,6 +176,19 @@ def test_language_edges(spark):
     assert language.learn(rows.limit(0)) == {} and zlib.crc32(b"1") >= 0
 
 
+def test_language_stage_rejects_by_score(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    words = {"en": "the house of and with that was for they have from this had not are but what all were when".split(), "de": "das haus und der die nicht ist ein mit sich auf dem auch werden aus hat dass sie nach wird".split()}
+    docs = [(i, " ".join(rng.choice(words[k], 40)), k) for i, k in enumerate(["en", "de"] * 150)]
+    odd = [(1000, "litwo ojczyzno moja jak zdrowie trzeba tylko dowie piękność twą całej ozdobie widzę opisuję " * 3, "en"), (1001, "xq zvk wqpj kkzx vvbq jjx qqk zzw " * 6, "de"), (1002, "12 !", "en")]
+    rows = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in docs + odd], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, rows, None).collect()}
+    held = {i for i, _, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert held <= kept and len(kept) >= 295 and not kept & {1000, 1001, 1002}
+
+
 def test_pii_base(spark):
     t = "mail a.b@c.de or 10.0.0.255, 999.1.1.1 card 4111 1111 1111 1111 tel +49 (30) 1234567."
     r = pii.find_pii(frame(spark, [(1, t), (2, None), (3, "")])).orderBy("doc_id").collect()
