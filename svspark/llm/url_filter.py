@@ -5,26 +5,26 @@ score 0, which is an allow. Rows are judged one by one, so repeats agree.
 
 The pages carry no labels. Accepted and rejected training urls come from SEEDS,
 words of host names that mark promotional sites; the models then judge every
-url without a rule by its characters. Training takes at most SAMPLE distinct
-urls of each kind, the smallest by hash (a bounded, documented sample).
+url without a rule by its characters. Both models count all distinct urls of
+their kind but a fifth by hash, which calibrates; counts stay distributed and
+meet the urls by a join. Where no host has a seed word, every url is allowed.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import table, width, written
 
 # The rules (verdict, host, path prefix).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 SEEDS = ("spam", "pills", "casino", "viagra", "xxx", "porn", "loan", "bet", "malware", "phish")
-SAMPLE, ORDER = 20_000, 4
+ORDER, SCALE = 4, 1e9
 
 
 def host_path(url) -> tuple:
@@ -44,71 +44,92 @@ def rule_columns(host, path, rules=RULES) -> tuple:
     return rule, verdict
 
 
-class Markov:
-    """Characters given up to ORDER before them; Witten-Bell interpolation down to uniform."""
-
-    def __init__(self, texts, order: int = ORDER):
-        self.order, self.next, self.total = order, defaultdict(lambda: defaultdict(int)), defaultdict(int)
-        for t in texts:
-            s = "\x02" * order + t + "\x03"
-            for i in range(order, len(s)):
-                for k in range(order + 1):
-                    self.next[s[i - k : i]][s[i]] += 1
-                    self.total[s[i - k : i]] += 1
-        self.next = {k: dict(v) for k, v in self.next.items()}
-        self.total = dict(self.total)
-
-    def score(self, t: str) -> float:
-        """Mean log-likelihood of a character."""
-        s, out = "\x02" * self.order + t + "\x03", 0.0
-        for i in range(self.order, len(s)):
-            p = 1 / 256
-            for k in range(self.order + 1):
-                seen = self.next.get(s[i - k : i])
-                if seen is None:
-                    break
-                n = self.total[s[i - k : i]]
-                p = (seen.get(s[i], 0) + len(seen) * p) / (n + len(seen))
-            out += math.log(p)
-        return out / (len(t) + 1)
-
-
-def fit(urls: DataFrame) -> tuple[Markov, Markov, float]:
-    """Models of accepted and rejected host+path strings and the calibrated threshold (least balanced error on a held-back fifth)."""
-    bad = F.lit(False)
-    for s in SEEDS:
-        bad = bad | F.col("host").contains(s)
-    u = urls.where("host <> ''").select(F.concat("host", "path").alias("u"), bad.alias("bad")).distinct()
-    got = {b: [r[0] for r in u.where(F.col("bad") == b).orderBy(F.xxhash64("u"), "u").limit(SAMPLE).collect()] for b in (False, True)}
-    good, bads = (Markov(x for i, x in enumerate(got[b]) if i % 5 or len(got[b]) < 5) for b in (False, True))
-    pts = [(good.score(x) - bads.score(x), b) for b in got for i, x in enumerate(got[b]) if i % 5 == 0]
-    best, cutoff = 2.0, 0.0
-    if got[True] and got[False]:
-        n = {b: max(1, sum(y == b for _, y in pts)) for b in got}
-        edges = sorted({p for p, _ in pts})
-        for c in [(a + b) / 2 for a, b in zip(edges, edges[1:])][:: max(1, len(edges) // 500)]:
-            err = sum(p >= c for p, y in pts if y) / n[True] + sum(p < c for p, y in pts if not y) / n[False]
-            if err < best:
-                best, cutoff = err, c
-    else:
-        cutoff = -math.inf
-    return good, bads, cutoff
+def grams(urls: DataFrame) -> DataFrame:
+    """urls(u, ...) with each ORDER + 1 characters of u, start and end marked, and how often (n) u has them."""
+
+    def run(batches):
+        for b in batches:
+            row, gram, n = [], [], []
+            for i, u in enumerate(b.column("u").to_pylist()):
+                t = "\x02" * ORDER + u + "\x03"
+                for g, c in Counter(t[j : j + ORDER + 1] for j in range(len(t) - ORDER)).items():
+                    row.append(i)
+                    gram.append(g)
+                    n.append(c)
+            got = b.take(pa.array(row, pa.int64())).drop_columns(["u"])
+            yield got.append_column("gram", pa.array(gram, pa.string())).append_column("n", pa.array(n, pa.int64()))
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in urls.schema.fields if f.name != "u")
+    return urls.mapInArrow(run, f"{kept}, gram string, n long")
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, v): log-likelihood of the last character under the accepted less the rejected model, times SCALE, a whole number.
+
+    counts(gram, good, bad) holds every gram, those never trained on with 0.
+    Witten-Bell interpolation from uniform up; unseen contexts change nothing.
+    """
+    p = None
+    for k in range(ORDER + 1):
+        c = counts.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("ctx", F.substring("gram", 1, k) if k else F.lit(""))
+        seen = c.groupBy("ctx").agg(*(f(x).alias(x + y) for x in ("good", "bad") for f, y in ((F.sum, "_n"), (lambda x: F.count_if(F.col(x) > 0), "_d"))))
+        if p is None:
+            c = c.withColumns({"good_p": F.lit(1 / 256), "bad_p": F.lit(1 / 256)})
+        else:
+            c = c.withColumn("tail", F.substring("gram", 2, k)).join(p.withColumnRenamed("gram", "tail"), "tail").drop("tail")
+        c = c.join(seen, "ctx")
+        p = written(c.select("gram", *(F.when(F.col(f"{x}_n") > 0, (F.col(x) + F.col(f"{x}_d") * F.col(f"{x}_p")) / (F.col(f"{x}_n") + F.col(f"{x}_d"))).otherwise(F.col(f"{x}_p")).alias(f"{x}_p") for x in ("good", "bad"))))
+    return p.select("gram", F.round((F.log("good_p") - F.log("bad_p")) * SCALE).cast("long").alias("v"))
+
+
+def cut_point(points: DataFrame) -> float:
+    """Least balanced error over the midpoints of all neighbouring ratios, the lowest on ties; points(ratio, bad). Sums of each range are all that reaches the driver."""
+    per = points.groupBy("ratio").agg(F.count_if(~F.col("bad")).alias("g"), F.count_if("bad").alias("b"))
+    per = written(per.repartitionByRange(width(points.sparkSession), "ratio").withColumn("_pid", F.spark_partition_id()))
+    sums = per.groupBy("_pid").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("ratio").alias("last")).orderBy("last").collect()
+    good, bad = (sum(r[c] for r in sums) for c in ("g", "b"))
+    if not sums:
+        return 0.0
+    before, at = [], [0, 0]
+    for r in sums:
+        before.append((r["_pid"], at[0], at[1]))
+        at = [at[0] + r["g"], at[1] + r["b"]]
+    w = Window.partitionBy("_pid").orderBy("ratio")
+    base = F.broadcast(points.sparkSession.createDataFrame(before, "_pid int, g0 long, b0 long"))
+    err = per.join(base, "_pid").select("ratio", ((F.lit(bad) - F.col("b0") - F.sum("b").over(w)) / max(1, bad) + (F.col("g0") + F.sum("g").over(w)) / max(1, good)).alias("err"))
+    best = err.where(F.col("ratio") < sums[-1]["last"]).orderBy("err", "ratio").limit(1).collect()
+    if not best or best[0]["err"] >= 2:
+        return 0.0
+    return (best[0]["ratio"] + per.where(F.col("ratio") > best[0]["ratio"]).agg(F.min("ratio")).first()[0]) / 2
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """pages(url, ...) plus host, path, rule, verdict and ratio."""
     host, path = host_path(F.col("url"))
     p = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    model = pages.sparkSession.sparkContext.broadcast(fit(p))
-    cutoff = model.value[2]
-
-    def run(batches):
-        good, bad, _ = model.value
-        for b in batches:
-            r = [good.score(h + q) - bad.score(h + q) if h else 0.0 for h, q in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            yield b.append_column("ratio", pa.array(r, pa.float64()))
-
-    s = p.mapInArrow(run, StructType([*p.schema.fields, StructField("ratio", DoubleType())]))
+    bad = F.lit(False)
+    for s in SEEDS:
+        bad = bad | F.col("host").contains(s)
+    u = written(p.where("host <> ''").select(F.concat("host", "path").alias("u"), bad.alias("bad")).distinct())
+    of = {r["bad"]: r["n"] for r in u.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    back = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
+    few = F.lit(False)
+    for b in (False, True):
+        if of.get(b, 0) < 5:
+            few = few | (F.col("bad") == b)
+    at = written(grams(u.select("u", F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad", (few | ~back).alias("train"))))
+    n = lambda b: F.sum(F.when(F.col("train") & (F.col("bad") == b), F.col("n")).otherwise(0))
+    v = log_ratios(written(at.groupBy("gram").agg(n(False).alias("good"), n(True).alias("bad"))))
+    score = at.join(v, "gram").groupBy("k1", "k2", "bad").agg((F.sum(F.col("v") * F.col("n")) / SCALE / F.sum("n")).alias("ratio"))
+    score = written(score)
+    cutoff = -math.inf
+    if len(of) == 2:
+        held = u.where(back).select(F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad")
+        cutoff = cut_point(score.join(held, ["k1", "k2", "bad"], "left_semi").select("ratio", "bad"))
+    of_page = F.when(F.col("host") != "", F.concat("host", "path"))
+    found = score.groupBy("k1", "k2").agg(F.min("ratio").alias("ratio"))
+    s = p.withColumns({"k1": F.xxhash64(of_page), "k2": F.xxhash64(F.lit("u"), of_page)}).join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    s = s.withColumn("ratio", F.when(F.col("host") == "", 0.0).otherwise(F.col("ratio")))
     rule, verdict = rule_columns(F.col("host"), F.col("path"))
     by_model = F.when((F.col("host") == "") | (F.col("ratio") >= cutoff), "allow").otherwise("block")
     return s.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_model)})

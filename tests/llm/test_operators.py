@@ -168,6 +168,34 @@ def test_url_rules(spark):
                    4: ("example.net", "/de/8", "example.net/de/8", "block"), 5: ("foocom", "/en/", None, "allow")}
 
 
+def test_url_models_count_every_url(spark):
+    rng = np.random.default_rng(5)
+    urls = sorted({f"https://{'casino' if i % 3 == 0 else 'shop'}{''.join(rng.choice(list('abc'), 3))}.io/{i % 90}" for i in range(150)})
+    got = {r.url: r for r in url_filter.judge(spark.createDataFrame([(x,) for x in urls + urls[:9]], "url string")).collect()}
+    held = {r.url for r in spark.createDataFrame([(x,) for x in urls], "url string").where("pmod(xxhash64(substring(url, 9)), 5) = 0").collect()}
+
+    def loglik(t, train):
+        s, out = "\x02" * 4 + t + "\x03", 0.0
+        texts = ["\x02" * 4 + x + "\x03" for x in train]
+        for i in range(4, len(s)):
+            p = 1 / 256
+            for k in range(5):
+                ctx = [x[j] for x in texts for j in range(4, len(x)) if x[j - k : j] == s[i - k : i]]
+                if ctx:
+                    p = (ctx.count(s[i]) + len(set(ctx)) * p) / (len(ctx) + len(set(ctx)))
+            out += np.log(p)
+        return out / (len(t) + 1)
+
+    good, bad = ([x[8:] for x in urls if x not in held and ("casino" in x) == b] for b in (False, True))
+    for x in urls[:3] + urls[-3:]:
+        assert abs(got[x].ratio - loglik(x[8:], good) + loglik(x[8:], bad)) < 1e-6
+    edges = sorted({got[x].ratio for x in held})
+    err = lambda c: sum(got[x].ratio >= c for x in held if "casino" in x) / max(1, sum("casino" in x for x in held)) + sum(got[x].ratio < c for x in held if "casino" not in x) / max(1, sum("casino" not in x for x in held))
+    best = min(((a + b) / 2 for a, b in zip(edges, edges[1:])), key=err)
+    assert all((r.verdict == "allow") == (r.ratio >= best) for r in got.values())
+    assert not hasattr(url_filter, "SAMPLE")
+
+
 def test_language_edges(spark):
     rows = spark.createDataFrame([(i, f"{w} {w} {i}", lang) for i in range(40) for w, lang in (("the house", "en"), ("das haus", "de"))], "doc_id long, text string, lang string")
     p = language.learn(rows)
