@@ -5,8 +5,12 @@ Base spans follow fixed patterns. High-recall generators propose further spans
 context features; boosted trees (depth one) score it as a Column expression;
 those over the calibrated threshold that touch no base span are added as kind
 ``other``. The trees are fitted on a histogram of feature patterns, whose size
-is bounded by the product of the features' few values; a candidate counts as
-positive if it overlaps a base span (distant supervision).
+is bounded by the product of the features' few values. Positive are candidates
+on a base span, without the + that decides phones, and base addresses with
+their @ read as [at]. Negative are those that no format allows: addresses that
+[at] read as @ does not make valid, numbers of too few or too many digits,
+dates, failed card and IP checks, and bare digit runs without a label. All
+others are open: neither learned from nor counted in the precision.
 
 Null texts are empty. Positions are code points. Rows are judged one by one.
 """
@@ -73,7 +77,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-FEATURES = ("digits", "groups", "plus", "dots", "label", "edge", "hidden")
+FEATURES = ("digits", "groups", "dots", "label", "edge", "hidden", "form")
+AT = r" ?(?:\[at\]|\(at\)) ?"
+DATE = r"^(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})$"
 
 
 def _features(text: Column, x: Column) -> Column:
@@ -81,12 +87,19 @@ def _features(text: Column, x: Column) -> Column:
     before = F.lower(F.substring(text, F.greatest(s - 11, F.lit(1)), F.least(s, F.lit(12))))
     groups = F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))
     after = F.substring(text, x["e"] + 1, F.lit(1))
+    digits = F.length(_digits(m))
+    hidden = F.contains(m, F.lit("@")) | m.rlike(AT)
+    form = hidden & F.regexp_replace(m, AT, "@").rlike(rf"^{EMAIL}\.?$")
+    labelled = before.rlike("(phone|tel|call|card|ssn|ip|mail|contact|fax|id)[^a-z]*$")
+    dotted = m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+    ip = m.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
+    none = F.when(hidden, ~form).otherwise((~ip & ~digits.between(8, 19)) | (dotted & ~ip) | m.rlike(DATE) | F.when(digits.between(16, 19), ~_luhn(m)).otherwise(False) | ((groups == 1) & ~labelled & ~before.endswith("+")))
     return F.struct(
         x["s"].alias("s"), x["e"].alias("e"),
-        F.least(F.length(_digits(m)), F.lit(20)).alias("digits"), F.least(groups, F.lit(8)).alias("groups"), before.endswith("+").cast("int").alias("plus"),
+        F.least(F.length(_digits(m)), F.lit(20)).alias("digits"), F.least(groups, F.lit(8)).alias("groups"),
         (F.size(F.split(m, r"\.")) == 4).cast("int").alias("dots"),
-        before.rlike("(phone|tel|call|card|ssn|ip|mail|contact|fax|id)[^a-z]*$").cast("int").alias("label"),
-        after.rlike("^[A-Za-z0-9]").cast("int").alias("edge"), (F.contains(m, F.lit("at]")) | F.contains(m, F.lit("at)"))).cast("int").alias("hidden"))
+        labelled.cast("int").alias("label"),
+        after.rlike("^[A-Za-z0-9]").cast("int").alias("edge"), hidden.cast("int").alias("hidden"), form.cast("int").alias("form"), none.alias("none"))
 
 
 def _boost(rows: list[tuple[tuple[int, ...], int, int]]) -> tuple[list[tuple[int, int, float, float]], float, float]:
@@ -124,11 +137,14 @@ def find_pii(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     text = F.col("_t")
     plain = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    d = d.withColumns({k: plain(v) for k, v in base_spans(text).items()})
+    base = base_spans(text)
+    d = d.withColumns({k: plain(v) for k, v in base.items()} | {"_m": F.transform(base["email"], lambda x: _features(text, x))})
     d = d.withColumn("_c", F.transform(F.concat(_spans(text, NUMBER), _spans(text, HIDDEN, "at")), lambda x: _features(text, x)))
     every = F.concat(*KINDS)
     on_base = lambda x: F.exists(every, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    lab = d.select(F.explode(F.transform("_c", lambda x: F.struct(*(x[f].alias(f) for f in FEATURES), on_base(x).cast("int").alias("y")))).alias("x")).select("x.*")
+    told = lambda x, y: F.struct(*(x[f].alias(f) for f in FEATURES), y.cast("int").alias("y"))
+    known = F.concat(F.transform("_c", lambda x: told(x, F.when(on_base(x), 1).when(x["none"], 0))), F.transform("_m", lambda x: told(x, F.lit(1))))
+    lab = d.select(F.explode(known).alias("x")).select("x.*").where("y is not null")
     rows = [(tuple(r[f] for f in FEATURES), r["p"], r["n"]) for r in lab.groupBy(*FEATURES).agg(F.sum("y").alias("p"), F.count("*").alias("n")).orderBy(*FEATURES).collect()]
     trees, bias, threshold = _boost(rows)
 
@@ -138,8 +154,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     if math.isinf(threshold):
         other = F.array().cast("array<struct<s:int,e:int>>")
     else:
-        other = plain(F.filter("_c", lambda x: (score(x) >= threshold) & ~on_base(x)))
-    return d.withColumn("other", F.array_sort(F.array_distinct(other))).drop("_t", "_c")
+        other = plain(F.filter("_c", lambda x: (score(x) >= threshold) & ~x["none"] & ~on_base(x)))
+    return d.withColumn("other", F.array_sort(F.array_distinct(other))).drop("_t", "_c", "_m")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

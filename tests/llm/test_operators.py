@@ -224,6 +224,14 @@ def test_pii_base(spark):
     assert all(not r[j][k] for j in (1, 2) for k in (*pii.KINDS, "other"))
 
 
+def test_pii_adds_open_candidates(spark):
+    docs = [(i, f"call +49 30 55{i:04d} or write a{i}@b.de, number {1000000000 + 37 * i} of 2024-01-{i % 28 + 1:02d}") for i in range(60)]
+    new = [(100, "call 030 551 2345 or write jo [at] b.de now"), (101, "number 1234567890 of 2024-02-11, see you (at) home")]
+    got = {r.doc_id: [dict(docs + new)[r.doc_id][x.s : x.e] for x in r.other] for r in pii.find_pii(frame(spark, docs + new)).where("doc_id >= 100 or size(other) > 0").collect()}
+    assert got[101] == [] and len(got) == 2
+    assert "030 551 2345" in got[100] and any(x.startswith("jo [at] b.de") for x in got[100])
+
+
 def test_pieces_round_trip():
     import public_tokenizers
 
