@@ -53,3 +53,10 @@ def reciprocal_overlap(iv: DataFrame, r: float, bin_size: int) -> DataFrame:
     longer = F.greatest(F.col("e_a") - F.col("s_a"), F.col("e_b") - F.col("s_b"))
     first = (F.col("s_a") < F.col("s_b")) | ((F.col("s_a") == F.col("s_b")) & (F.struct("id_a", "ln_a") < F.struct("id_b", "ln_b")))
     return a.join(b, ["chrom", "t", "bin"]).where(first & (over > 0) & (over >= r * longer)).select("id_a", "ln_a", "id_b", "ln_b", over.alias("overlap"))
+
+
+def spanning(i: DataFrame) -> DataFrame:
+    """chrom, bp, spanning: intervals (s <= bp < e) over the breakpoint 50 after the start of every interval, where there are any."""
+    b = i.select("chrom", (F.col("s") + 50).alias("bp")).distinct().withColumn("bin", F.expr("bp div 1000"))
+    near = i.select("chrom", "s", "e", F.explode(F.sequence(F.expr("s div 1000"), F.expr("(e - 1) div 1000"))).alias("bin"))
+    return b.join(near, ["chrom", "bin"]).where("s <= bp and bp < e").groupBy("chrom", "bp").agg(F.count("*").alias("spanning"))

@@ -266,6 +266,12 @@ def interval_overlap_depth(spark, d):
     return b.join(near, ["chrom", "bin"]).where("s <= bp and bp < e").groupBy("chrom", "bp").agg(F.count("*").alias("spanning"))
 
 
+@_query()
+def interval_overlap_depth_all(spark, d):
+    """J7 over the breakpoints of all intervals; interval_overlap_depth asks only those of first lines, as its SQL does. No SQL: its range join is quadratic."""
+    return iv.spanning(intervals(spark, d))
+
+
 @_query(f"WITH {E_SQL}, b AS (SELECT DISTINCT chrom, pos FROM e WHERE svt = 'click'), u AS (SELECT e.id, e.pos, max(b.pos) AS before FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos <= e.pos GROUP BY ALL), v AS (SELECT e.id, min(b.pos) AS after FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos >= e.pos GROUP BY ALL) SELECT id, CASE WHEN after IS NULL OR pos - before <= after - pos THEN before ELSE after END AS boundary FROM u JOIN v USING (id)")
 def nearest_boundary(spark, d):
     """Nearest boundary, the lower on ties; one ordering per chromosome instead of a range join."""

@@ -25,3 +25,10 @@ def test_islands_and_complement_by_hand(spark):
     assert sorted(map(tuple, intervals.islands(iv).collect())) == [(1, 5, 15), (1, 20, 21)]
     assert sorted(map(tuple, intervals.complement(iv).collect())) == [(1, 0, 4), (1, 15, 19)]
     assert [tuple(r) for r in intervals.depth_runs(iv).orderBy("s").collect()] == [(1, 5, 8, 1), (1, 8, 10, 2), (1, 10, 12, 1), (1, 12, 15, 1), (1, 20, 21, 1)]
+
+
+def test_breakpoints_of_all_intervals(spark):
+    rows = [(1, 100, 300, 1), (1, 120, 160, 2), (1, 990, 1100, 2), (2, 100, 110, 1), (1, 120, 2500, 3)]
+    want = {(c, s + 50): n for c, s, _, _ in rows if (n := sum(x == c and a <= s + 50 < b for x, a, b, _ in rows))}
+    got = intervals.spanning(spark.createDataFrame(rows, "chrom int, s long, e long, ln int")).collect()
+    assert {(r.chrom, r.bp): r.spanning for r in got} == want and (1, 1040) in want
