@@ -211,6 +211,16 @@ def edit_identity(spark, d):
     return b.join(n, "item_id").select("item_id", ed.cast("long").alias("ed"), F.when(longer > 0, F.round(1 - ed / longer, 6)).alias("identity"))
 
 
+@_query()
+def edit_identity_whole(spark, d):
+    """F6, raw form only, over whole sequences; edit_identity compares the first 60 characters, as its SQL does."""
+    b = read(spark, d, "benchmark").select("item_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
+    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
+    longer = F.greatest(F.length("s"), F.length("t"))
+    ed = F.levenshtein("s", "t")
+    return b.join(n, "item_id").select("item_id", ed.cast("long").alias("ed"), F.when(longer > 0, F.round(1 - ed / longer, 6)).alias("identity"))
+
+
 @_query(f"WITH {G_SQL}, c AS (SELECT id, ln, (ref + alt) / 10.0::DOUBLE AS x FROM g), l AS (SELECT id, ln, list_sort([{{'a': -greatest(-0.5::DOUBLE * (x - m) * (x - m) / 0.25::DOUBLE / 2.302585092994046::DOUBLE, -1000.0::DOUBLE), 'cn': m}} FOR m IN range(10)]) AS l FROM c) SELECT id, ln, l[1].cn AS cn, round(10 * (l[2].a - l[1].a), 4) AS gq FROM l")
 def cn_likelihoods(spark, d):
     """Normal log likelihoods of copy numbers 0 to 9 at sd 0.5; quality is best less second. No shuffle: an array per row."""

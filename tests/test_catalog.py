@@ -32,3 +32,16 @@ def test_breakpoints_of_all_intervals(spark):
     want = {(c, s + 50): n for c, s, _, _ in rows if (n := sum(x == c and a <= s + 50 < b for x, a, b, _ in rows))}
     got = intervals.spanning(spark.createDataFrame(rows, "chrom int, s long, e long, ln int")).collect()
     assert {(r.chrom, r.bp): r.spanning for r in got} == want and (1, 1040) in want
+
+
+def test_identity_of_whole_sequences(spark, tmp_path):
+    a = "ACGT" * 20
+    spark.createDataFrame([(1, a), (2, a[:70] + "TTTTTTTTTT")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    of = {n: [(r.ed, r.identity) for r in catalog.queries()[n](spark, str(tmp_path)).collect()] for n in ("edit_identity", "edit_identity_whole")}
+    want, row = a[:70] + "TTTTTTTTTT", list(range(81))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(want, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    assert of == {"edit_identity": [(0, 1.0)], "edit_identity_whole": [(row[-1], round(1 - row[-1] / 80, 6))]} and row[-1] > 0
