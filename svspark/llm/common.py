@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -16,39 +21,91 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; elsewhere an error, as executors share no local folder."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
-        got = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="svspark-")
-    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        got = tempfile.mkdtemp(prefix="svspark-")
         spark.sparkContext.setCheckpointDir(got)
     return got
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder, so a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there. Then deletes the written tables ``done`` that only led to it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/svspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    release(*done)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written``; a collection on the driver lets Spark drop shuffle files that no plan needs."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_next(ids: DataFrame, key: str, out: str) -> DataFrame:
-    """Adds ``out``, the following key in ascending order (the first after the last).
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less its columns named like a result (any case), which results replace, and those that begin with _sv_, which operators use inside."""
+    own = {n.lower() for n in names}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in own and not c.lower().startswith("_sv_")))
+
+
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20):
+    """Slices of an Arrow batch with at most ``most`` bytes of ``column``, or one row: what Python holds at once stays bounded."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def beside(docs: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """docs and the rows of each document in one stream: per key the rows in ``order`` (_sv_kind 0), then the documents (_sv_kind 1).
 
-    Range partitions are ordered one by one; only the first key of each
-    partition (as many rows as partitions) crosses between them.
+    Columns that only one side has are null on the other. Nothing is collected per document.
     """
-    n = width(ids.sparkSession)
-    r = cut(ids.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id()))
-    heads = r.groupBy("_pid").agg(F.min(key).alias("_head"))
-    every = Window.partitionBy(F.lit(1))
-    heads = heads.select("_pid", F.coalesce(F.lead("_head").over(every.orderBy("_pid")), F.min("_head").over(every)).alias("_after"))
-    w = Window.partitionBy("_pid").orderBy(key)
-    return (r.withColumn("_lead", F.lead(key).over(w)).join(F.broadcast(heads), "_pid")
-            .withColumn(out, F.coalesce("_lead", "_after")).drop("_pid", "_lead", "_after"))
+    only_rows, only_docs = ([f for f in x.schema.fields if f.name not in key and f.name not in y.columns] for x, y in ((rows, docs), (docs, rows)))
+    u = docs.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in only_rows), F.lit(1).alias("_sv_kind")).unionByName(
+        rows.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in only_docs), F.lit(0).alias("_sv_kind")))
+    return u.repartition(*key).sortWithinPartitions(*key, "_sv_kind", *order)
+
+
+def documents_of(batches, key: list[str], columns: list[str], text: str):
+    """From the stream of ``beside``: (slice of documents, [arrays of columns for each of them])."""
+    held, held_key, pending = [np.zeros(0, np.int64)] * len(columns), None, [[] for _ in columns]
+    for batch in batches:
+        for b in parts(batch, text):
+            kind = b.column("_sv_kind").to_numpy()
+            at = np.flatnonzero(kind == 1)
+            of, values = [], [b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in columns]
+            keys = list(zip(*(b.column(c).take(pa.array(at)).to_pylist() for c in key)))
+            last = 0
+            for i, k in zip(at.tolist(), keys):
+                if i > last or pending[0]:
+                    held, held_key = [np.concatenate([*p, v[last:i]]) for p, v in zip(pending, values)], k
+                    pending = [[] for _ in columns]
+                elif k != held_key:
+                    held, held_key = [v[:0] for v in values], k
+                of.append(held)
+                last = i + 1
+            if last < b.num_rows:
+                for p, v in zip(pending, values):
+                    p.append(v[last:].copy())
+            if len(at):
+                yield b.take(pa.array(at)), of
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -123,30 +180,153 @@ def word_shingles(text: str | None, size: int = 5) -> np.ndarray:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Minimum labels over neighbours with pointer jumping; every round is cut
-    by a reliable checkpoint and no label ever reaches the driver.
+    Minimum labels over neighbours with pointer jumping; every round is written
+    and the one before deleted, and no label ever reaches the driver.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = cut(e.union(e.select("v", "u")).distinct())
-    lab = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")))
-    while True:
+    both = written(e.union(e.select("v", "u")).distinct())
+    new = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.col("u").alias("old"), F.least("u", "m").alias("c")))
+    while not new.where("c <> old").isEmpty():
+        lab = new.select("u", "c")
         near = both.join(lab.select(F.col("u").alias("v"), F.col("c").alias("nc")), "v").groupBy("u").agg(F.min("nc").alias("nc"))
         step = lab.join(near, "u", "left").select("u", "c", F.least("c", F.coalesce("nc", "c")).alias("n"))
         jump = lab.select(F.col("u").alias("n"), F.col("c").alias("j"))
-        new = cut(step.join(jump, "n", "left").select("u", F.col("c").alias("old"), F.least("n", F.coalesce("j", "n")).alias("c")))
-        lab = new.select("u", "c")
-        if new.where("c <> old").isEmpty():
-            return lab.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        new = written(step.join(jump, "n", "left").select("u", F.col("c").alias("old"), F.least("n", F.coalesce("j", "n")).alias("c")), new)
+    out = new.select(F.col("u").alias("node"), F.col("c").alias("component"))
+    out._written_path = new._written_path
+    release(both)
+    return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there."""
-    import uuid
+BITS = 26
 
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/svspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def slots_of(ids: DataFrame, column: str) -> np.ndarray:
+    """Bit field of fixed size (2**BITS bits) that holds the hash of every id of ``column``; a filter ahead of an exact join."""
+    slot = F.pmod(F.col(column), F.lit(1 << BITS)) + 1
+    got = ids.select(slot.alias("s")).groupBy(F.call_function("bitmap_bucket_number", "s").alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", "s")).alias("m"))
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for r in got.toLocalIterator():
+        m = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[(r["b"] - 1) * len(m) : r["b"] * len(m)] = m
+    return out
+
+
+def in_slots(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    s = ids % (1 << BITS)
+    return (field[s >> 3] >> (s & 7) & 1).astype(bool)
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """(key, a, a_at, b, b_at, own) from keys(key, id, at): each member b of a key beside the key's first indexed member a.
+
+    A key is a hash whose last bit is 0 where indexed and 1 for a probe. Keys of
+    one member or none indexed are gone. Keys cross the network once and are
+    streamed in order; of a key only its first row is held.
+    """
+
+    def run(batches):
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            key, ids, at = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(last, ("key", "id", "at")))
+            if not len(key):
+                continue
+            group = key >> 1
+            edge = np.concatenate(([True], group[1:] != group[:-1]))
+            head = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+            keep = (key[head] & 1 == 0) & (ids != ids[head])
+            yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(ids[head][keep]), pa.array(at[head][keep]), pa.array(ids[keep]), pa.array(at[keep]), pa.array(key[keep] & 1 == 0)], ["key", "a", "a_at", "b", "b_at", "own"])
+            last = [x[head[-1] : head[-1] + 1].copy() for x in (key, ids, at)]
+
+    return keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, a_at long, b long, b_at long, own boolean")
+
+
+def node_of(words: list[bytes]) -> int:
+    """64-bit hash of a word sequence; equal sequences are one node of the joins on shingles."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, shingles): sorted hashes as bytes of the nodes named in ids(node), from texts(text)."""
+    field = texts.sparkSession.sparkContext.broadcast(slots_of(ids, "node"))
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for b in parts(batch):
+                text = [t for t in b.column("text").to_pylist() if t]
+                got = np.array([node_of(lower_words(t.encode("utf-8", "surrogatepass"))) for t in text], np.int64)
+                pick = [i for i in np.flatnonzero(in_slots(field.value, got)).tolist() if (j := int(got[i])) not in seen and not seen.add(j)]
+                yield pa.RecordBatch.from_arrays([pa.array(got[pick]), pa.array([word_shingles(text[i]).tobytes() for i in pick], pa.binary())], ["node", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "node long, shingles binary").join(ids, "node", "left_semi").dropDuplicates(["node"])
+
+
+TOGETHER = 500
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of nodes whose shingle sets have 100 * intersection >= 80 * union, written.
+
+    The set of a is sent once for every TOGETHER partners, its partners follow
+    it in a stream: neither a popular node nor its partners meet in one task.
+    """
+    pairs = written(pairs.distinct())
+    sets = written(sets_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("s"))
+    dealt = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("s")).alias("s")), pairs)
+    one = sets.withColumnRenamed("node", "a").join(dealt.select("a", "s").distinct(), "a").select("a", "s", F.lit(None).cast("long").alias("b"), F.lit(0).alias("m"), "shingles")
+    rest = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "s", "b", F.lit(1).alias("m"), "shingles")
+
+    def check(batches):
+        own = None
+        for batch in batches:
+            for t in parts(batch, "shingles"):
+                a, b = [], []
+                for x, y, s in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("shingles")):
+                    s = np.frombuffer(s.as_buffer(), np.uint64)
+                    if y is None:
+                        own = s.copy()
+                    else:
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        if 100 * both >= 80 * (len(own) + len(s) - both):
+                            a.append(x)
+                            b.append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    stream = one.unionByName(rest).repartition("a", "s").sortWithinPartitions("a", "s", "m")
+    return written(stream.select("a", "b", "shingles").mapInArrow(check, "a long, b long"), dealt, sets)
+
+
+def linked(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that link by 80 % of their shingles with another, written. keys(key, id, at): at is the size of the set.
+
+    Any two that link must share a key. Members meet their key's smallest node
+    first; those that this did not join meet in pairs across components, if
+    their sizes allow a link.
+    """
+    met = written(stars(keys))
+    links = verified(met.where("100 * least(a_at, b_at) >= 80 * greatest(a_at, b_at)").select("a", "b"), texts)
+    comp = components(links, "a", "b")
+    rows = met.select("key", F.col("b").alias("id"), F.col("b_at").alias("n")).distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    more = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    rows = written(rows.join(more, "key").select("key", "id", "n", "c"), comp, met)
+    # Classes of size a ratio of 1.25 wide: a larger partner lies in the same or the next.
+    size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
+    small = rows.select("key", F.explode(F.array(size, size + 1)).alias("l"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
+    pairs = small.join(rows.select("key", size.alias("l"), F.col("id").alias("b"), "n", F.col("c").alias("cb")), ["key", "l"])
+    pairs = pairs.where("ca <> cb and m <= n and 100 * m >= 80 * n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = verified(pairs, texts)
+    out = components(links.unionByName(found), "a", "b")
+    release(links, found, rows)
+    return out
+
+
+def smallest_id(rows: DataFrame, comp: DataFrame, out: str) -> DataFrame:
+    """rows(doc_id, node, ...) less node, plus ``out``: the smallest doc_id of the node's component, the own doc_id for rows without node."""
+    named = rows.join(comp, "node", "left").withColumn("_sv_c", F.coalesce("component", "node")).drop("component", "node")
+    least = named.where("_sv_c is not null").groupBy("_sv_c").agg(F.min("doc_id").alias(out), F.max("doc_id").alias("_sv_z")).where(F.col(out) != F.col("_sv_z")).select("_sv_c", out)
+    return named.join(written(least), "_sv_c", "left").withColumn(out, F.coalesce(out, "doc_id")).drop("_sv_c")
 
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

@@ -1,19 +1,28 @@
 """Operator 2: document fingerprints by MinHash.
 
-Nulls count as empty texts. A text without words has the all-ones signature.
-Repeated doc_ids take the smallest text as the id's text in the order.
+A text's fingerprint holds, for each of PERMS universal hash permutations of
+its five-word shingles, the least value. Texts that share one of BANDS bands of
+it are candidates, joined in Spark; the Jaccard likeness of their whole shingle
+sets verifies them (``linked`` in common), and ``class_id`` is the smallest
+doc_id of the near duplicates so reached. At likeness 0.8 a pair shares no band
+with a chance of (1 - 0.8**4)**16, under 0.0003.
+
+Nulls count as empty texts. A text without words has the all-ones signature and
+a class of its own. Documents are ordered by doc_id, nulls first, and where it
+repeats by text hash; the next document is the next row of that order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_next, word_shingles
+from .common import linked, lower_words, node_of, parts, smallest_id, table, width, word_shingles, written
 
 PERMS, BANDS = 64, 16
 _R = np.random.default_rng(7)
@@ -30,8 +39,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype("<u4")
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    return float((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).mean())
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    return float((a == b).mean())
 
 
 def edit(text: str, following: str) -> str:
@@ -39,64 +48,66 @@ def edit(text: str, following: str) -> str:
     return (text[: len(text) - k] + following[:k]) if k else text
 
 
-def signatures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``sig`` (binary, PERMS little-endian uint32) to every row."""
+def band_keys(sig="sig"):
+    """A key for each band of a signature (binary)."""
+    step = 4 * PERMS // BANDS
+    return F.array(*(F.xxhash64(F.lit(j), F.substring(sig, j * step + 1, step)).bitwiseAND(-2) for j in range(BANDS)))
 
-    def run(batches):
-        for b in batches:
-            sig = [signature(word_shingles(t)).tobytes() for t in b.column(text).to_pylist()]
-            yield b.append_column("sig", pa.array(sig, pa.binary()))
 
-    from pyspark.sql.types import BinaryType, StructField, StructType
+def near_classes(rows: DataFrame, texts: DataFrame, out: str = "class_id") -> DataFrame:
+    """rows(doc_id, node, sig, n_shingles, fresh, ...) plus the near-duplicate class; rows marked fresh name each node at least once."""
+    keys = rows.where("fresh and n_shingles > 0").select(F.explode(band_keys()).alias("key"), F.col("node").alias("id"), F.col("n_shingles").alias("at"))
+    return smallest_id(rows, linked(keys, texts), out)
+
+
+def _in_order(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) dealt by ranges of the order, each followed by the first document of the next range (_sv_copy 1)."""
+    spark, n = docs.sparkSession, width(docs.sparkSession)
+    d = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("_sv_i"), F.xxhash64("text").alias("_sv_h"))
+    at = d.select("_sv_i", "_sv_h").repartitionByRange(n, "_sv_i", "_sv_h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("_sv_i", "_sv_h")).alias("lo"), F.max(F.struct("_sv_i", "_sv_h")).alias("hi"))
+    edge = sorted((tuple(r["lo"]), tuple(r["hi"])) for r in at.collect())  # one row per partition
+    ids, hashes = (F.from_json(F.lit(json.dumps([hi[k] for _, hi in edge])), "array<bigint>") for k in (0, 1))
+
+    def below(lo, step):
+        i, h = F.try_element_at(ids, lo + step), F.try_element_at(hashes, lo + step)
+        return F.when(F.coalesce((i < F.col("_sv_i")) | ((i == F.col("_sv_i")) & (h < F.col("_sv_h"))), F.lit(False)), lo + step).otherwise(lo)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("sig", BinaryType())]))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(edge)).bit_length()))))
+    own = d.select("*", F.aggregate(steps, F.lit(0), below).alias("_sv_p"), F.lit(0).alias("_sv_copy"))
+    heads = spark.createDataFrame([(*lo, (k - 1) % len(edge)) for k, (lo, _) in enumerate(edge)], "_sv_i long, _sv_h long, _sv_p int")
+    copy = d.join(F.broadcast(heads), ["_sv_i", "_sv_h"]).select(*d.columns, "_sv_p", F.lit(1).alias("_sv_copy"))  # as many rows as partitions, more only where rows are equal
+    return own.unionByName(copy).repartition(n, "_sv_p").sortWithinPartitions("_sv_p", "_sv_copy", "_sv_i", "_sv_h")
 
 
-def near_pairs(df: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, similarity): representatives of different texts sharing a band, Jaccard verified on full shingle sets."""
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, node, n_shingles, fresh, n_chars, edited_sha256, sig, edited_sig, near_edited, near_next of docs(doc_id, text)."""
 
     def run(batches):
-        for b in batches:
-            sh = [word_shingles(t) for t in b.column("text").to_pylist()]
-            sig = [signature(s) for s in sh]
-            step = PERMS // BANDS
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([s.view(np.int64).tolist() for s in sh], pa.list_(pa.int64())),
-                pa.array([[int.from_bytes(hashlib.blake2b(bytes([j]) + x[j * step : j * step + step].tobytes(), digest_size=8).digest(), "little", signed=True) for j in range(BANDS)] if len(s) else [] for x, s in zip(sig, sh)], pa.list_(pa.int64()))],
-                ["doc_id", "shingles", "bands"])
-
-    reps = df.where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
-    s = reps.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, bands array<long>")
-    band = s.select("doc_id", F.explode("bands").alias("band"))
-    pairs = band.alias("x").join(band.alias("y"), "band").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    sets = s.select("doc_id", "shingles")
-    v = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return v.withColumn("similarity", inter / (F.size("sa") + F.size("sb") - inter)).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        last, seen = None, set()
+        for batch in batches:
+            for b in parts(batch):
+                rows = []
+                for i, t, p, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_sv_p", "_sv_copy"))):
+                    s = word_shingles(t)
+                    own = (i, t, p, copy, s, signature(s))
+                    if last is not None and not last[3]:
+                        x, sig = last[1], last[5]
+                        e = edit(x, t)
+                        es = signature(word_shingles(e))
+                        w = lower_words(x.encode("utf-8", "surrogatepass"))
+                        node = node_of(w) if w else None
+                        fresh = node is not None and node not in seen and not seen.add(node)
+                        rows.append((last[0], node, len(last[4]), fresh, len(x), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), sig.tobytes(), es.tobytes(), likeness(sig, es), likeness(sig, own[5])))
+                    last = own
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], list(kinds))
+
+    flat = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    name = flat.schema["doc_id"].dataType.simpleString()
+    kinds = {"doc_id": pa.int32() if name == "int" else pa.int64(), "node": pa.int64(), "n_shingles": pa.int64(), "fresh": pa.bool_(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "sig": pa.binary(), "edited_sig": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    return _in_order(flat).mapInArrow(run, f"doc_id {name}, node long, n_shingles long, fresh boolean, n_chars long, edited_sha256 string, sig binary, edited_sig binary, near_edited double, near_next double")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = d.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    order = with_next(ids, "doc_id", "next_id").select("doc_id", "next_id", F.floor(F.col("n_chars") / 4).cast("int").alias("need"))
-
-    def heads(batches):
-        for b in batches:
-            t, need = b.column("text").to_pylist(), b.column("need").to_pylist()
-            sig = [signature(word_shingles(x)).tobytes() for x in t]
-            yield pa.RecordBatch.from_arrays([b.column("back"), pa.array([x[:k] for x, k in zip(t, need)], pa.string()), pa.array(sig, pa.binary())], ["doc_id", "head", "next_sig"])
-
-    def finish(batches):
-        for b in batches:
-            rows = []
-            for i, t, h, ns in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "head", "next_sig"))):
-                e = edit(t, h)
-                s, es = signature(word_shingles(t)).tobytes(), signature(word_shingles(e)).tobytes()
-                rows.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), s.hex(), es.hex(), likeness(s, es), likeness(s, ns)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 7, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))],
-                                             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    back = d.join(order.select(F.col("doc_id").alias("back"), F.col("next_id").alias("doc_id"), "need"), "doc_id")
-    head = back.select("back", "text", "need").mapInArrow(heads, "doc_id long, head string, next_sig binary")
-    return d.join(head, "doc_id").select("doc_id", "text", "head", "next_sig").mapInArrow(
-        finish, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    f = near_classes(written(fingerprints(d)), d)
+    return f.select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("sig")).alias("fingerprint"), F.lower(F.hex("edited_sig")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

@@ -1,167 +1,199 @@
 """Operator 4: n-gram Jaccard join with token-combination prefixes.
 
-Texts become sets of five-word shingles. Null and empty texts have no set and
-link with nothing. Rows sharing a doc_id are one document. Equal word
-sequences collapse to their smallest doc_id before any join.
-
-Global token order: rare class first, then the frequent class. A token is
-frequent if its counting bucket holds over HEAT times the mean, counted over all
-sets; buckets are fixed in number, so the class table is 32 kB at any scale.
-Rare tokens are indexed singly. Frequent ones fall in GROUPS subclasses, each
-indexed by its 2-token combinations, and the prefix grows until the tokens that
-could be missing cannot break every signature. Sets up to SMALL tokens use
-plain prefixes; sizes that can reach over the border emit both.
-
-Candidates are taken by stars (each key's smallest member) first; members that
-the stars joined need no pairs of their own, and only pairs across components
-are left for the last pass. An exact parity bound drops candidates before the
-texts meet.
+Texts become sets of five-word shingles (tokens). Null and empty texts have no
+set and link with nothing. Rows with equal word sequences are one node of the
+join; rows sharing a doc_id keep their own texts, links and component.
+
+All tokens are counted. Frequent are those in more than LEAST sets, or in more
+than the least threshold that leaves at most TABLE of them: the table that all
+tasks hold has a fixed bound at any scale. Global token order: rare class
+first, then the frequent ones by rising class of their count. Rare tokens are
+indexed singly; frequent ones fall in subclasses, each indexed by its 2-token
+combinations, and the prefix grows until the tokens that could be missing
+cannot break every signature. Their number of subclasses grows with the size of
+the set; sets that reach over a border of sizes emit for both sides. A set of
+one token has no combination and is indexed by it.
+
+Candidates and verification: ``linked`` in common.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_words, components, mix, table, word_shingles, written
-
-BUCKETS, HEAT, GROUPS, SMALL = 1 << 18, 4, 32, 64
-LANES = 16
-
-
-def _parity(s: np.ndarray) -> list[int]:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+from .common import linked, lower_words, mix, node_of, parts, release, smallest_id, table, width, word_shingles, written
+
+LEAST, TABLE, CHUNK, PER = 16, 1 << 20, 1 << 20, 64
+
+
+def subclasses(n: int) -> int:
+    """1 up to PER tokens, then four times as many for each border of four times the size."""
+    g = 1
+    while n > PER * g:
+        g *= 4
+    return g
+
+
+def _combinations(s: np.ndarray, rank: np.ndarray, need: int, groups: int) -> list[np.ndarray]:
+    """Keys of one set for a number of subclasses. s: tokens in hash order; rank: 0 for rare ones, else their class."""
+    rare = s[rank == 0][:need]
+    out = [mix(rare + np.uint64(2 * groups + 1))]
+    warm = rank > 0
+    freq = s[warm][np.argsort(rank[warm], kind="stable")]
+    left, group = need - len(rare), (freq >> np.uint64(40)) % np.uint64(groups)
+    seen: dict[int, list[int]] = {}
+    for x, g in zip(freq.tolist(), group.tolist()):
+        if left <= 0:
+            break
+        own = seen.setdefault(g, [])
+        left -= bool(own)
+        own.append(x)
+    for own in seen.values():
+        if len(own) > 1:
+            v = np.array(own, np.uint64)
+            i, j = np.triu_indices(len(v), 1)
+            out.append(mix(mix(v[i] + np.uint64(2 * groups + 2)) + v[j]))
+    return out
 
 
-def signature_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def signature_keys(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Index keys of one set; 100 * intersection >= 80 * union implies a shared key."""
     n = len(s)
+    if n < 2:
+        return (mix(s + np.uint64(1)) & ~np.uint64(1)).view(np.int64)
     need = n - (80 * n + 99) // 100 + 1
-    out = []
-    if n <= SMALL * 5 // 4:
-        out.append(mix(s[:need] + np.uint64(1)))
-    if n > SMALL:
-        warm = hot[(s % np.uint64(BUCKETS)).astype(np.int64)]
-        rare, freq = s[~warm][:need], s[warm]
-        out.append(mix(rare + np.uint64(2)))
-        left, group = need - len(rare), (freq >> np.uint64(40)) % np.uint64(GROUPS)
-        seen: dict[int, list[int]] = {}
-        for x, g in zip(freq.tolist(), group.tolist()):
-            if left <= 0:
-                break
-            own = seen.setdefault(g, [])
-            left -= bool(own)
-            own.append(x)
-        for own in seen.values():
-            if len(own) > 1:
-                v = np.array(own, np.uint64)
-                i, j = np.triu_indices(len(v), 1)
-                out.append(mix(mix(v[i] + np.uint64(3)) + v[j]))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-def _described(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            key, n = [], []
-            for t in b.column("text").to_pylist():
-                w = lower_words((t or "").encode("utf-8", "surrogatepass"))
-                key.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
-                n.append(len(word_shingles(t)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "key", "n_shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n_shingles long")
-
-
-def _hot(sets: DataFrame) -> np.ndarray:
+    out = [k for g in sorted({subclasses(n), subclasses(n * 5 // 4)}) for k in _combinations(s, rank, need, g)]
+    return np.unique(np.concatenate(out) & ~np.uint64(1)).view(np.int64)
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(token, n) of the tokens in more than LEAST sets, counted over every distinct word sequence of a partition.
+
+    Tokens travel in blocks by range of their hash, those seen once without a count.
+    """
+    buckets = 2 * width(docs.sparkSession)
+
+    def blocks(tokens):
+        t, n = np.unique(np.concatenate(tokens), return_counts=True)
+        at = np.searchsorted(t, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+        ones, many = [], []
+        for x, y in zip(np.split(t, at), np.split(n, at)):
+            ones.append(x[y == 1].tobytes())
+            many.append(np.stack((x[y > 1], y[y > 1].astype(np.uint64))).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(ones, pa.binary()), pa.array(many, pa.binary())], ["bucket", "ones", "many"])
+
+    def split(batches):
+        seen, held, size = set(), [], 0
+        for batch in batches:
+            for b in parts(batch):
+                for t in b.column("text").to_pylist():
+                    w = lower_words((t or "").encode("utf-8", "surrogatepass"))
+                    if w and (i := node_of(w)) not in seen:
+                        seen.add(i)
+                        held.append(word_shingles(t))
+                        size += len(held[-1])
+                        if size >= CHUNK:
+                            yield blocks(held)
+                            held, size = [], 0
+        if held:
+            yield blocks(held)
+
+    def add(t, n):
+        t, at = np.unique(np.concatenate(t), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
+        keep = n > LEAST
+        return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+
     def count(batches):
-        c = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                np.add.at(c, (word_shingles(t) % np.uint64(BUCKETS)).astype(np.int64), 1)
-        at = np.flatnonzero(c)
-        for i in range(0, len(at), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536]), pa.array(c[at[i : i + 65536]])], ["bucket", "c"])
-
-    got = sets.select("text").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
-    got = written(got)
-    limit = max(64.0, HEAT * (got.agg(F.sum("c")).first()[0] or 0) / BUCKETS)
-    hot = np.zeros(BUCKETS, bool)
-    for r in got.where(F.col("c") > limit).select("bucket").toLocalIterator():
-        hot[r[0]] = True
-    return hot
-
-
-def _verify(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
-    a = sketch.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("par").alias("pa"))
-    b = sketch.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("par").alias("pb"))
-    apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(LANES)), F.lit(0))
-    near = pairs.join(a, "a").join(b, "b").where((100 * F.least("na", "nb") >= 80 * F.greatest("na", "nb")) & (apart * 180 <= 20 * (F.col("na") + F.col("nb")))).select("a", "b")
-    near = written(near)
-
-    def check(batches):
-        last, sa = None, None
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column("ta").to_pylist(), t.column("tb").to_pylist()):
-                if x != last:
-                    last, sa = x, word_shingles(x)
-                sb = word_shingles(y)
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(sa) + len(sb) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    text = docs.select("doc_id", "text")
-    full = near.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.mapInArrow(check, "a long, b long")
+        last, t, n = None, [], []
+        for batch in batches:
+            for b, ones, many in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ones", "many"))):
+                if b != last and t:
+                    yield add(t, n)
+                    t, n = [], []
+                x, y = np.frombuffer(ones, np.uint64), np.frombuffer(many, np.uint64).reshape(2, -1)
+                t += [x, y[0]]
+                n += [np.ones(len(x)), y[1].astype(np.float64)]
+                last = b
+        if t:
+            yield add(t, n)
+
+    rows = docs.select("text").mapInArrow(split, "bucket long, ones binary, many binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "token long, n long")
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most TABLE tokens in hash order, and the class (from 1 up) of each one's count."""
+    got = written(token_counts(docs))
+    by = sorted(map(tuple, got.groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.count("*")).collect()), reverse=True)
+    least, total = None, 0
+    for c, n in by:
+        total += n
+        if total > TABLE:
+            break
+        least = c
+    if least is None:
+        release(got)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    t = got.select("token", F.floor(F.log2("n") * 8).alias("c")).where(F.col("c") >= least).toArrow()
+    token, c = t["token"].to_numpy().view(np.uint64), t["c"].to_numpy() - least + 1
+    at = np.argsort(token)
+    release(got)
+    return token[at], np.minimum(c[at], 255).astype(np.uint8)
+
+
+def ranks(s: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    if not len(token):
+        return np.zeros(len(s), np.uint8)
+    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    return np.where(token[at] == s, rank[at], 0)
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
+    """doc_id, _sv_h (hash of the text), n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    desc = written(_described(docs))
-    reps = desc.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    some = docs.join(written(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").where("text is not null").dropDuplicates(["doc_id"])
-    some = written(some)
-    shared = spark.sparkContext.broadcast(np.packbits(_hot(some)))
+    texts = docs.select("text")
+    shared = spark.sparkContext.broadcast(frequent(texts))
 
     def index(batches):
-        hot = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            n, par, keys = [], [], []
-            for t in b.column("text").to_pylist():
-                s = word_shingles(t)
-                n.append(len(s))
-                par.append(_parity(s))
-                keys.append(signature_keys(s, hot))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(par, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "par", "keys"])
-
-    ix = written(some.mapInArrow(index, "doc_id long, n long, par array<long>, keys array<long>"))
-    sketch = ix.select("doc_id", "n", "par")
-    keys = ix.select("doc_id", F.explode("keys").alias("k"))
-    star = keys.groupBy("k").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("k", "a")
-    pairs = keys.withColumnRenamed("doc_id", "b").join(star, "k").where("a <> b").select("a", "b").distinct()
-    links = written(_verify(pairs, sketch, some))
-    comp = components(links, "a", "b")
-    lab = written(sketch.select("doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c")))
-    # Keys whose members the stars did not bring together: only pairs across components, not those of the star itself.
-    open_ = keys.join(lab, "doc_id")
-    more = open_.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-    open_ = written(open_.join(more, "k"))
-    rest = (open_.select("k", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(open_.select("k", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "k")
-            .where("a < b and ca <> cb").select("a", "b").distinct())
-    found = written(_verify(rest, sketch, some).unionByName(links))
-    comp = components(found, "a", "b").withColumnRenamed("component", "c")
-    named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("c", "rep").alias("component_id"))
-    out = desc.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+        seen = set()
+        for batch in batches:
+            for b in parts(batch):
+                node, n, keys = [], [], []
+                for t in b.column("text").to_pylist():
+                    w = lower_words((t or "").encode("utf-8", "surrogatepass"))
+                    s = word_shingles(t)
+                    new = bool(w) and (i := node_of(w)) not in seen and not seen.add(i)
+                    node.append(i if w else None)
+                    n.append(len(s))
+                    keys.append(signature_keys(s, ranks(s, *shared.value)) if new else None)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sv_h"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_sv_h", "node", "n_shingles", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ix = written(docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(index, f"doc_id {kind}, _sv_h long, node long, n_shingles long, keys array<long>"))
+    rows = written(ix.drop("keys"))
+    comp = linked(ix.where("keys is not null").select(F.explode("keys").alias("key"), F.col("node").alias("id"), F.col("n_shingles").alias("at")), texts)
+    release(ix)
+    return smallest_id(rows, comp, "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of each component with the smallest doc_id, then text hash; of rows equal in both, one."""
+    c = written(ngram_components(docs))
+    first = c.groupBy("component_id").agg(F.min(F.struct("doc_id", "_sv_h")).alias("f"))
+    lone = F.struct("doc_id", "_sv_h").eqNullSafe(F.col("f")) | F.col("n_shingles").eqNullSafe(0)
+    stay = written(c.alias("c").join(first.alias("o"), F.expr("c.component_id <=> o.component_id")).where(lone).groupBy("doc_id", "_sv_h").agg(F.count("*").alias("_sv_n")), c)
+    keyed = docs.withColumn("_sv_h", F.xxhash64("text")).alias("d")
+    same = F.expr("d.doc_id <=> s.doc_id and d._sv_h <=> s._sv_h")
+    kept = keyed.join(stay.alias("s"), same, "left_semi")
+    twice = stay.where("_sv_n > 1")
+    if not twice.isEmpty():
+        kept = keyed.join(stay.where("_sv_n = 1").alias("s"), same, "left_semi").unionByName(keyed.join(twice.alias("s"), same, "left_semi").dropDuplicates(["doc_id", "_sv_h"]))
+    return kept.drop("_sv_h")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
