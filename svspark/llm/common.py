@@ -217,28 +217,87 @@ def in_slots(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (field[s >> 3] >> (s & 7) & 1).astype(bool)
 
 
-def stars(keys: DataFrame) -> DataFrame:
-    """(key, a, a_at, b, b_at, own) from keys(key, id, at): each member b of a key beside the key's first indexed member a.
+def blocks(key: np.ndarray, size: np.ndarray, place: np.ndarray, probe: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Index entries of one chunk as bytes, a row for each bucket of keys: entry (46 bits of the key, class of place up to 63, of size up to 1023, probe flag), id; and the pairs of equal entries inside the chunk."""
+    bucket = (key >> np.uint64(46)).astype(np.int64) % buckets
+    entry = (key << np.uint64(17) | place.astype(np.uint64) << np.uint64(11) | size.astype(np.uint64) << np.uint64(1) | probe.astype(np.uint64)) & ~np.uint64(1 << 63)
+    at = np.lexsort((ids, entry, bucket))
+    bucket, entry, ids = bucket[at], entry[at], ids[at]
+    edge = np.concatenate(([True], (entry[1:] != entry[:-1]) | (bucket[1:] != bucket[:-1])))
+    head = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    twin = ~edge & (ids != ids[head])
+    ends = [np.searchsorted(bucket[m], np.arange(1, buckets)) for m in (edge, twin)]
+    cols = [[_planes(x) for x in np.split(c, e)] for c, e in ((entry[edge], ends[0]), (ids[edge], ends[0]), (entry[twin], ends[1]), (ids[head][twin], ends[1]), (ids[twin], ends[1]))]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "entry", "ids", "te", "ta", "tb"])
 
-    A key is a hash whose last bit is 0 where indexed and 1 for a probe. Keys of
-    one member or none indexed are gone. Keys cross the network once and are
-    streamed in order; of a key only its first row is held.
+
+def _planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers as bytes by their place: the first ones of sorted numbers hardly change, so they pack well."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(x: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+BLOCKS = "bucket long, entry binary, ids binary, te binary, ta binary, tb binary"
+STARS = "key long, a long, a_at long, b long, b_at long, own boolean"
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """(key, a, a_at, b, b_at, own) from rows of ``blocks``: each member b of a key beside the key's smallest indexed member a, in runs of neighbouring classes of place and size (at: both, packed).
+
+    Members of a chunk that share an entry meet there, and one of them goes on:
+    a bucket holds at most one entry of a key, classes and chunk. Keys without a
+    second member or an indexed one are gone.
     """
+    one = np.uint64(1)
+
+    def batch(bucket, entry, a, b, ea):
+        key = (entry >> np.uint64(17)).astype(np.int64) | np.int64(bucket % (1 << 17)) << 46
+        at = lambda e: (e >> one & np.uint64(0xFFFF)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, a, at(ea), b, at(entry), entry & one == 0)], ["key", "a", "a_at", "b", "b_at", "own"])
+
+    def meet(bucket, held):
+        entry, ids, te, ta, tb = (np.concatenate([_from_planes(x, kind) for x in c]) for c, kind in zip(held, (np.uint64, np.int64, np.uint64, np.int64, np.int64)))
+        if len(te):
+            yield batch(bucket, te, ta, tb, te)
+        run = (entry >> np.uint64(17)).astype(np.int64)
+        place, size, probe = ((entry >> np.uint64(k) & np.uint64(m)).astype(np.int64) for k, m in ((11, 63), (1, 1023), (0, 1)))
+        for k in (0, 1, 0):
+            at = np.lexsort(((place, size)[k], run))
+            run, place, size, probe, entry, ids = (x[at] for x in (run, place, size, probe, entry, ids))
+            c = (place, size)[k]
+            run = np.cumsum(np.concatenate(([True], (run[1:] != run[:-1]) | (c[1:] - c[:-1] > 1)))) if len(run) else run
+            alone = np.bincount(run)[run] == 1
+            run, place, size, probe, entry, ids = (x[~alone] for x in (run, place, size, probe, entry, ids))
+        at = np.lexsort((ids, probe, run))
+        run, probe, entry, ids = (x[at] for x in (run, probe, entry, ids))
+        if len(run):
+            edge = np.concatenate(([True], run[1:] != run[:-1]))
+            head = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+            keep = (probe[head] == 0) & (ids != ids[head])
+            if keep.any():
+                yield batch(bucket, entry[keep], ids[head][keep], ids[keep], entry[head][keep])
 
     def run(batches):
-        last = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            key, ids, at = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(last, ("key", "id", "at")))
-            if not len(key):
-                continue
-            group = key >> 1
-            edge = np.concatenate(([True], group[1:] != group[:-1]))
-            head = np.flatnonzero(edge)[np.cumsum(edge) - 1]
-            keep = (key[head] & 1 == 0) & (ids != ids[head])
-            yield pa.RecordBatch.from_arrays([pa.array(group[keep]), pa.array(ids[head][keep]), pa.array(at[head][keep]), pa.array(ids[keep]), pa.array(at[keep]), pa.array(key[keep] & 1 == 0)], ["key", "a", "a_at", "b", "b_at", "own"])
-            last = [x[head[-1] : head[-1] + 1].copy() for x in (key, ids, at)]
+        last, held = None, [[], [], [], [], []]
+        for b in batches:
+            for bucket, *cols in zip(*(b.column(c).to_pylist() for c in ("bucket", "entry", "ids", "te", "ta", "tb"))):
+                if bucket != last and held[0]:
+                    yield from meet(last, held)
+                    held = [[], [], [], [], []]
+                last = bucket
+                for h, c in zip(held, cols):
+                    h.append(c)
+        if held[0]:
+            yield from meet(last, held)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, STARS)
 
-    return keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, a_at long, b long, b_at long, own boolean")
+
+def buckets_of(spark: SparkSession) -> int:
+    return 2 * width(spark)
 
 
 def node_of(words: list[bytes]) -> int:
@@ -246,8 +305,8 @@ def node_of(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
-def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, shingles): sorted hashes as bytes of the nodes named in ids(node), from texts(text)."""
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the nodes named in ids(node), from texts(text)."""
     field = texts.sparkSession.sparkContext.broadcast(slots_of(ids, "node"))
 
     def run(batches):
@@ -257,68 +316,104 @@ def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 text = [t for t in b.column("text").to_pylist() if t]
                 got = np.array([node_of(lower_words(t.encode("utf-8", "surrogatepass"))) for t in text], np.int64)
                 pick = [i for i in np.flatnonzero(in_slots(field.value, got)).tolist() if (j := int(got[i])) not in seen and not seen.add(j)]
-                yield pa.RecordBatch.from_arrays([pa.array(got[pick]), pa.array([word_shingles(text[i]).tobytes() for i in pick], pa.binary())], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(got[pick]), pa.array([text[i] for i in pick], pa.string())], ["node", "text"])
 
-    return texts.select("text").mapInArrow(run, "node long, shingles binary").join(ids, "node", "left_semi").dropDuplicates(["node"])
+    return texts.select("text").mapInArrow(run, "node long, text string").join(ids, "node", "left_semi").dropDuplicates(["node"])
 
 
 TOGETHER = 500
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of nodes whose shingle sets have 100 * intersection >= 80 * union, written.
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of nodes whose shingle sets have 100 * intersection >= 80 * union, written; own: (node, text) of all of them.
 
-    The set of a is sent once for every TOGETHER partners, its partners follow
+    The text of a is sent once for every TOGETHER partners, its partners follow
     it in a stream: neither a popular node nor its partners meet in one task.
     """
     pairs = written(pairs.distinct())
-    sets = written(sets_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("s"))
     dealt = written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("s")).alias("s")), pairs)
-    one = sets.withColumnRenamed("node", "a").join(dealt.select("a", "s").distinct(), "a").select("a", "s", F.lit(None).cast("long").alias("b"), F.lit(0).alias("m"), "shingles")
-    rest = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "s", "b", F.lit(1).alias("m"), "shingles")
+    one = own.withColumnRenamed("node", "a").join(dealt.select("a", "s").distinct(), "a").select("a", "s", F.lit(None).cast("long").alias("b"), F.lit(0).alias("m"), "text")
+    rest = dealt.join(own.withColumnRenamed("node", "b"), "b").select("a", "s", "b", F.lit(1).alias("m"), "text")
 
     def check(batches):
-        own = None
+        first = None
         for batch in batches:
-            for t in parts(batch, "shingles"):
+            for t in parts(batch):
                 a, b = [], []
-                for x, y, s in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("shingles")):
-                    s = np.frombuffer(s.as_buffer(), np.uint64)
+                for x, y, text in zip(*(t.column(c).to_pylist() for c in ("a", "b", "text"))):
+                    s = word_shingles(text)
                     if y is None:
-                        own = s.copy()
+                        first = s
                     else:
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if 100 * both >= 80 * (len(own) + len(s) - both):
+                        both = len(np.intersect1d(first, s, assume_unique=True))
+                        if 100 * both >= 80 * (len(first) + len(s) - both):
                             a.append(x)
                             b.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     stream = one.unionByName(rest).repartition("a", "s").sortWithinPartitions("a", "s", "m")
-    return written(stream.select("a", "b", "shingles").mapInArrow(check, "a long, b long"), dealt, sets)
+    return written(stream.select("a", "b", "text").mapInArrow(check, "a long, b long"), dealt)
 
 
-def linked(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that link by 80 % of their shingles with another, written. keys(key, id, at): at is the size of the set.
+def linked(met: DataFrame, fetch, verify, alike=None) -> DataFrame:
+    """(node, component) of the graph of verified links between members of a common key, written.
 
-    Any two that link must share a key. Members meet their key's smallest node
-    first; those that this did not join meet in pairs across components, if
-    their sizes allow a link.
+    met: ``stars``, written. fetch: ids (node) to a table of what verify reads,
+    written. verify: pairs (a, b) and that table to the pairs that link, written.
+    alike: whether sketches (columns sa, sb from sk of that table) allow a link.
+    Members first try their smallest owner, then, where keys have many members,
+    in ROUNDS rounds one member of another component; the last pass takes all
+    pairs left between components that share a key and neighbouring classes.
+    Keys with the same members are one. No link between two components that the
+    rounds left apart is lost.
     """
-    met = written(stars(keys))
-    links = verified(met.where("100 * least(a_at, b_at) >= 80 * greatest(a_at, b_at)").select("a", "b"), texts)
-    comp = components(links, "a", "b")
-    rows = met.select("key", F.col("b").alias("id"), F.col("b_at").alias("n")).distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    more = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rows = written(rows.join(more, "key").select("key", "id", "n", "c"), comp, met)
-    # Classes of size a ratio of 1.25 wide: a larger partner lies in the same or the next.
-    size = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)
-    small = rows.select("key", F.explode(F.array(size, size + 1)).alias("l"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"))
-    pairs = small.join(rows.select("key", size.alias("l"), F.col("id").alias("b"), "n", F.col("c").alias("cb")), ["key", "l"])
-    pairs = pairs.where("ca <> cb and m <= n and 100 * m >= 80 * n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = verified(pairs, texts)
-    out = components(links.unionByName(found), "a", "b")
-    release(links, found, rows)
+    part = lambda x: (F.col(x).bitwiseAND(1023), F.shiftright(x, 10))
+    near = lambda x, y: (F.abs(part(x)[0] - part(y)[0]) <= 1) & (F.abs(part(x)[1] - part(y)[1]) <= 1)
+    rows = written(met.select("key", F.col("b").alias("id"), F.col("b_at").alias("at"), "own").union(met.select("key", "a", "a_at", F.lit(True))).distinct())
+    own = fetch(rows.select(F.col("id").alias("node")).distinct())
+    sketches = own.select(F.col("node").alias("id"), "sk") if alike is not None else None
+    links = [verify(met.where(near("a_at", "b_at")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), own)]
+    release(met)
+    for k in range(ROUNDS + 1):
+        comp = components(_all(links), "a", "b")
+        named = rows.select("key", "id", "at", "own").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        of = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("own").alias("i"), F.count("*").alias("n"),
+                                      *(F.bit_xor(F.xxhash64(F.lit(x), "id", "at", "own")).alias(f"x{x}") for x in (1, 2))).where("lo <> hi and i > 0")
+        rows = written(named.join(of.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "key"), rows, comp)
+        n, square = rows.agg(F.count("*"), F.sum("n")).first()
+        if k == ROUNDS or (square or 0) <= 8 * n:
+            break
+        tag = F.when(F.col("own"), F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "c", "at"))
+        ends = rows.groupBy("key").agg(F.min(tag).alias("o"), F.max(tag).alias("z"))
+        fits = lambda o: (F.col(f"{o}.c") != F.col("c")) & near(f"{o}.at", "at")
+        pick = rows.join(ends, "key").select("id", F.when(fits("o"), F.col("o")).when(fits("z"), F.col("z")).alias("o")).where("o is not null")
+        links.append(verify(pick.groupBy("id").agg(F.min("o").alias("o")).select(F.col("o.id").alias("a"), F.col("id").alias("b")), own))
+    if n:
+        if sketches is not None:
+            rows = written(rows.join(sketches, "id"), rows)
+        else:
+            alike = F.lit(True)
+        sk = F.lit(0) if sketches is None else F.col("sk")
+        size, place = part("at")
+        around = lambda x: F.array(*(x + i for i in (-1, 0, 1)))
+        one = rows.where("own").select("key", size.alias("l"), place.alias("w"), F.col("id").alias("a"), F.col("c").alias("ca"), sk.alias("sa"))
+        other = rows.select("key", F.explode(around(size)).alias("l"), place.alias("w"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("own").alias("ob"), sk.alias("sb"))
+        other = other.withColumn("w", F.explode(F.when(F.col("w") > 0, around(F.col("w"))).otherwise(F.array("w"))))
+        pairs = one.join(other, ["key", "l", "w"]).where("ca <> cb and (a < b or not ob)").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links.append(verify(pairs, own))
+    out = components(_all(links), "a", "b")
+    release(*([rows] if hasattr(rows, "_written_path") else []), own, *links)
+    return out
+
+
+ROUNDS = 2
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
     return out
 
 

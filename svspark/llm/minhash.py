@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, lower_words, node_of, parts, smallest_id, table, width, word_shingles, written
+from .common import BLOCKS, blocks, buckets_of, linked, lower_words, mix, node_of, parts, smallest_id, stars, table, texts_of, verified, width, word_shingles, written
+from .ngram_join import size_class
 
 PERMS, BANDS = 64, 16
 _R = np.random.default_rng(7)
@@ -48,16 +49,29 @@ def edit(text: str, following: str) -> str:
     return (text[: len(text) - k] + following[:k]) if k else text
 
 
-def band_keys(sig="sig"):
-    """A key for each band of a signature (binary)."""
-    step = 4 * PERMS // BANDS
-    return F.array(*(F.xxhash64(F.lit(j), F.substring(sig, j * step + 1, step)).bitwiseAND(-2) for j in range(BANDS)))
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band of one signature."""
+    step = PERMS // BANDS
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for x in sig.reshape(BANDS, step).T.astype(np.uint64):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + x)
+    return key
 
 
 def near_classes(rows: DataFrame, texts: DataFrame, out: str = "class_id") -> DataFrame:
     """rows(doc_id, node, sig, n_shingles, fresh, ...) plus the near-duplicate class; rows marked fresh name each node at least once."""
-    keys = rows.where("fresh and n_shingles > 0").select(F.explode(band_keys()).alias("key"), F.col("node").alias("id"), F.col("n_shingles").alias("at"))
-    return smallest_id(rows, linked(keys, texts), out)
+    buckets = buckets_of(rows.sparkSession)
+
+    def index(batches):
+        for b in batches:
+            node = b.column("node").to_numpy()
+            if len(node):
+                keys = [band_keys(np.frombuffer(x.as_buffer(), "<u4")) for x in b.column("sig")]
+                cls = np.array([size_class(n) for n in b.column("n_shingles").to_pylist()])
+                yield blocks(np.concatenate(keys), np.repeat(cls, BANDS), np.zeros(len(cls) * BANDS, np.int64), np.zeros(len(cls) * BANDS, bool), np.repeat(node, BANDS), buckets)
+
+    fresh = rows.where("fresh and n_shingles > 0").select("node", "sig", "n_shingles").mapInArrow(index, BLOCKS)
+    return smallest_id(rows, linked(written(stars(fresh)), lambda ids: written(texts_of(texts, ids)), verified), out)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:

@@ -19,12 +19,14 @@ Candidates and verification: ``linked`` in common.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import linked, lower_words, mix, node_of, parts, release, smallest_id, table, width, word_shingles, written
+from .common import BLOCKS, blocks, buckets_of, linked, lower_words, mix, node_of, parts, release, smallest_id, stars, table, texts_of, verified, word_shingles, written
 
 LEAST, TABLE, CHUNK, PER = 16, 1 << 20, 1 << 20, 64
 
@@ -63,10 +65,15 @@ def signature_keys(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Index keys of one set; 100 * intersection >= 80 * union implies a shared key."""
     n = len(s)
     if n < 2:
-        return (mix(s + np.uint64(1)) & ~np.uint64(1)).view(np.int64)
+        return mix(s + np.uint64(1))
     need = n - (80 * n + 99) // 100 + 1
     out = [k for g in sorted({subclasses(n), subclasses(n * 5 // 4)}) for k in _combinations(s, rank, need, g)]
-    return np.unique(np.concatenate(out) & ~np.uint64(1)).view(np.int64)
+    return np.unique(np.concatenate(out))
+
+
+def size_class(n: int) -> int:
+    """A ratio of 1.25 (and rounding) wide: sets that link lie in the same or neighbouring classes."""
+    return min(1 + int(math.log(n) / math.log(1.2501)), 1023)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -74,9 +81,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     Tokens travel in blocks by range of their hash, those seen once without a count.
     """
-    buckets = 2 * width(docs.sparkSession)
+    buckets = buckets_of(docs.sparkSession)
 
-    def blocks(tokens):
+    def counted(tokens):
         t, n = np.unique(np.concatenate(tokens), return_counts=True)
         at = np.searchsorted(t, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
         ones, many = [], []
@@ -96,10 +103,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
                         held.append(word_shingles(t))
                         size += len(held[-1])
                         if size >= CHUNK:
-                            yield blocks(held)
+                            yield counted(held)
                             held, size = [], 0
         if held:
-            yield blocks(held)
+            yield counted(held)
 
     def add(t, n):
         t, at = np.unique(np.concatenate(t), return_inverse=True)
@@ -158,26 +165,37 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     texts = docs.select("text")
     shared = spark.sparkContext.broadcast(frequent(texts))
 
+    buckets = buckets_of(spark)
+
+    def describe(batches):
+        for batch in batches:
+            for b in parts(batch):
+                words = [lower_words((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+                n = [len(word_shingles(t)) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sv_h"), pa.array([node_of(w) if w else None for w in words], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "_sv_h", "node", "n_shingles"])
+
     def index(batches):
-        seen = set()
+        seen, held, size = set(), [], 0
         for batch in batches:
             for b in parts(batch):
-                node, n, keys = [], [], []
                 for t in b.column("text").to_pylist():
                     w = lower_words((t or "").encode("utf-8", "surrogatepass"))
-                    s = word_shingles(t)
-                    new = bool(w) and (i := node_of(w)) not in seen and not seen.add(i)
-                    node.append(i if w else None)
-                    n.append(len(s))
-                    keys.append(signature_keys(s, ranks(s, *shared.value)) if new else None)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sv_h"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_sv_h", "node", "n_shingles", "keys"])
+                    if w and (i := node_of(w)) not in seen:
+                        seen.add(i)
+                        s = word_shingles(t)
+                        key = signature_keys(s, ranks(s, *shared.value))
+                        held.append((key, np.full(len(key), size_class(len(s))), np.zeros(len(key), np.int64), np.zeros(len(key), bool), np.full(len(key), i)))
+                        size += len(key)
+                        if size >= CHUNK:
+                            yield blocks(*map(np.concatenate, zip(*held)), buckets)
+                            held, size = [], 0
+        if size:
+            yield blocks(*map(np.concatenate, zip(*held)), buckets)
 
+    comp = linked(written(stars(texts.mapInArrow(index, BLOCKS))), lambda ids: written(texts_of(texts, ids)), verified)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ix = written(docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(index, f"doc_id {kind}, _sv_h long, node long, n_shingles long, keys array<long>"))
-    rows = written(ix.drop("keys"))
-    comp = linked(ix.where("keys is not null").select(F.explode("keys").alias("key"), F.col("node").alias("id"), F.col("n_shingles").alias("at")), texts)
-    release(ix)
-    return smallest_id(rows, comp, "component_id")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(describe, f"doc_id {kind}, _sv_h long, node long, n_shingles long")
+    return smallest_id(written(rows), comp, "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
