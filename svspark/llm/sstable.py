@@ -9,15 +9,24 @@ offset and size; a lookup asks the Bloom filter, bisects the index and scans
 one block. Files are written under a name that carries the attempt and then
 moved, so a task that is run again replaces its own output.
 
+A tokenizer whose pieces never cross ASCII white space encodes a text as its
+parts between such white space, one after another; ids of parts are remembered
+in a table of bounded size, and only new ones are encoded. Whether a tokenizer
+is of that kind is read from its file; another encodes whole texts.
+
 Null texts are empty and hold the end id alone. Repeated doc_ids stay, ordered
-by text. Rows without doc_id sort first under the smallest key.
+by text hash. Rows without doc_id sort first under the smallest key. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 
@@ -28,11 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, width, written
+from .common import parts, shared_dir, table, width, written
 
 MAGIC = b"SSTOKEN1"
 FOOTER = "<QQQQQII8s"  # index offset, size, bloom offset, size, documents, bloom hashes, id width, magic
-BLOCK, SHARD, CHUNK = 64 << 10, 64 << 20, 32
+BLOCK, SHARD, KNOWN = 64 << 10, 64 << 20, 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -52,6 +61,7 @@ class Writer:
         self.index, self.keys = [], []
 
     def add(self, doc_id: int, ids) -> None:
+        """ids: numbers, or their bytes at the width of the file."""
         key = _key(doc_id)
         same = 0
         if self.block:
@@ -59,8 +69,8 @@ class Writer:
                 same += 1
         else:
             self.first = key
-        arr = np.asarray(ids, np.int64).astype(self.kind)
-        self.block += bytes((same, 8 - same)) + key[same:] + struct.pack("<I", len(arr)) + arr.tobytes()
+        raw = ids if isinstance(ids, bytes) else np.asarray(ids, np.int64).astype(self.kind).tobytes()
+        self.block += bytes((same, 8 - same)) + key[same:] + struct.pack("<I", len(raw) // self.width) + raw
         self.last = key
         self.keys.append(key)
         if len(self.block) >= BLOCK:
@@ -131,6 +141,54 @@ class Reader:
         return None
 
 
+class Encoder:
+    """Texts to the bytes of their ids."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.apart = self._splits(json.load(f))
+
+    @staticmethod
+    def _splits(spec: dict) -> bool:
+        """Whether white space parts pieces: all of it becomes a blank, which a split removes, and no added token holds any."""
+        norm = (spec.get("normalizer") or {}).get("normalizers", [])
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        blank = any(n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in norm)
+        only = all(n["type"] in ("NFC", "Lowercase", "Replace") for n in norm) and all(x.get("type") in ("Split", "ByteLevel") and not x.get("add_prefix_space") for x in pre)
+        removed = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and r"[^\s" in pre[0]["pattern"].get("Regex", "") and " " not in pre[0]["pattern"].get("Regex", " ")
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\r\x0b\x0c") for t in spec.get("added_tokens", []))
+        return bool(blank and only and removed and plain and not spec.get("post_processor"))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return self._whole(texts)
+        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        own = set().union(*words)
+        new = list(own.difference(self.known))
+        if len(self.known) + len(new) > KNOWN:
+            self.known, new = {}, list(own)
+        for lo in range(0, len(new), 4096):
+            self.known.update(zip(new[lo : lo + 4096], self._whole([w.decode("utf-8", "surrogatepass") for w in new[lo : lo + 4096]])))
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker; its tasks share what it remembers."""
+    held = sys.modules.setdefault("_svspark_encoders", types.ModuleType("_svspark_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def _uri(path: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
@@ -142,10 +200,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; the cores belong to the other tasks
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        id_width = 2 if tok.get_vocab_size() <= 1 << 16 else 4
+        enc = encoder(tokenizer_path)
+        id_width = int(enc.kind[2])
+        end = np.array([end_id], enc.kind).tobytes()
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         ctx = TaskContext.get()
@@ -157,24 +214,22 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             return pa.RecordBatch.from_pydict({"pid": [pid], "part": [part], "uri": [f"{folder}/{pid:08d}-{part:06d}.sst"], "n_docs": [docs_n], "n_tokens": [toks_n]},
                                               schema=pa.schema([("pid", pa.int32()), ("part", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(texts), CHUNK):
-                enc = tok.encode_batch_fast([t or "" for t in texts[lo : lo + CHUNK]], add_special_tokens=False)
-                for i, e in zip(names[lo : lo + CHUNK], enc):
+        for batch in batches:
+            for b in parts(batch):
+                for i, ids in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("text").to_pylist()])):
                     if w is None:
                         tmp = f"{base}/_{pid:08d}-{part:06d}-{ctx.taskAttemptId()}"
                         w, docs_n, toks_n = Writer(fs.open_output_stream(tmp), id_width), 0, 0
-                    ids = [*e.ids, end_id]
-                    w.add(NULL_ID if i is None else i, ids)
-                    docs_n, toks_n = docs_n + 1, toks_n + len(ids)
+                    w.add(NULL_ID if i is None else i, ids + end)
+                    docs_n, toks_n = docs_n + 1, toks_n + len(ids) // id_width + 1
                     if w.size >= SHARD:
                         yield finish()
                         w, part = None, part + 1
         if w is not None:
             yield finish()
 
-    flat = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(width(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    flat = docs.select("doc_id", "text", F.xxhash64("text").alias("_sv_h"))
+    flat = flat.repartitionByRange(width(spark), "doc_id", "_sv_h").sortWithinPartitions("doc_id", "_sv_h").select("doc_id", "text")
     return written(flat.mapInArrow(run, "pid int, part int, uri string, n_docs long, n_tokens long"))
 
 
