@@ -16,7 +16,8 @@ precomputed at the positions of a difference cover modulo V, then by the last V
 bytes. Equal neighbours in that order are repeats.
 
 Null doc_ids come first. Rows sharing a doc_id are told apart and ordered by
-their text's hash; rows equal in both are one document, judged alike. Input
+their text's hash; rows equal in both are one document, judged alike. Texts
+equal to one of a smaller doc_id go whole, if they have LENGTH bytes. Input
 columns named like a result, or beginning with ``_sv_``, are replaced.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import _from_planes, _planes, beside, buckets_of, documents_of, mix, parts, release, table, without, written
 
+# V is four words; a string without its last V bytes is two times V and part of a word more.
 LENGTH, GRAM, V, BLOCK, CHUNK, MANY = 100, 16, 32, 1 << 20, 1 << 19, 20_000
 
 
@@ -47,48 +49,62 @@ COVER = difference_cover(V)
 SHIFT = np.array([[next(k for k in range(V) if (i + k) % V in COVER and (j + k) % V in COVER) for j in range(V)] for i in range(V)])
 
 
-def _ranks(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Dense ranks of t[p:p+depth] for p in ``at`` (t is padded): big-endian words compare as their bytes do."""
-    words = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t, 8)[at + i]).view(">u8").ravel().astype(np.uint64) for i in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]]
-    order = np.lexsort(words[::-1])
-    new = np.zeros(len(at), bool)
-    for w in words:
-        new[1:] |= w[order][1:] != w[order][:-1]
-    out = np.empty(len(at), np.int64)
-    out[order] = np.cumsum(new)
+_IN_COVER = np.isin(np.arange(V), COVER)
+_OWN = SHIFT[np.arange(V), np.arange(V)]
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """Ranks of numbers, equal ones alike."""
+    order = np.argsort(key)
+    k = key[order]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(np.concatenate(([False], k[1:] != k[:-1]))) if len(key) else 0
     return out
 
 
-def repeats(t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _dense(a << np.uint64(32) | b)
+
+
+def repeats(t: np.ndarray, starts: np.ndarray, aligned: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of ``starts`` at depth LENGTH, and the class of equal strings of each start.
 
     Starts that tie in their first V bytes are ordered by the ranks of the cover
-    sample, one residue of the first of them modulo V after another: all pairs
-    of a residue share the shift at which both meet the sample.
+    sample. Those of one residue modulo V share the shift at which they meet the
+    sample; residues are then merged by the shifts of each pair. Where equal
+    strings are known to have equal residues (aligned), classes need no merge,
+    and ties of different residues keep the order of those.
     """
-    t = np.concatenate((t, np.zeros(LENGTH + V, np.uint8)))
-    n = len(t) - LENGTH
-    sample = np.flatnonzero(np.isin(np.arange(n) % V, COVER))
-    rank = np.zeros(n, np.int64)
-    rank[sample] = _ranks(t, sample, LENGTH - V)
-    head, tail = _ranks(t, starts, V), _ranks(t, starts + LENGTH - V, V)
-    # Within a residue class one shift serves all; classes then merge by it pairwise.
+    t = np.concatenate((t, np.zeros(LENGTH + 3 * V, np.uint8)))
+    n = len(t) - LENGTH - V
+    # Big-endian words compare as their bytes do; doubled twice they give the ranks of V bytes.
+    word = _dense(np.lib.stride_tricks.as_strided(t, (len(t) - 7, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64))
+    half = _pair(word[:-8], word[8:])
+    whole = _pair(half[:-16], half[16:])
+    sample = np.flatnonzero(_IN_COVER[np.arange(n) % V])
+    rank = np.zeros(n, np.uint64)
+    rank[sample] = _pair(_pair(whole[sample], whole[sample + V]), word[sample + LENGTH - V - 8])
+    head, tail = whole[starts], whole[starts + LENGTH - V]
     res = starts % V
-    own = SHIFT[res, res]
-    order = np.lexsort((tail, rank[starts + own], res, head))
-    group = np.cumsum(np.concatenate(([False], head[order][1:] != head[order][:-1])))
-    size = np.bincount(group)
-    mixed = np.zeros(len(size), bool)
-    mixed[group[1:][(group[1:] == group[:-1]) & (res[order][1:] != res[order][:-1])]] = True
-    edges = np.concatenate(([0], np.cumsum(size)))
-    for g in np.flatnonzero(mixed):
-        part = order[edges[g] : edges[g + 1]]
-        order[edges[g] : edges[g + 1]] = _merge([part[res[part] == r] for r in np.unique(res[part])], starts, rank, tail)
+    if not len(starts):
+        return starts, starts
+    own = rank[starts + _OWN[res]]
+    first = _pair(head, res.astype(np.uint64))
+    key = _pair(_pair(first, own), tail)
+    order = np.argsort(key, kind="stable")
+    if aligned:
+        return order, key.astype(np.int64)
+    rank, tail = rank.astype(np.int64), tail.astype(np.int64)
+    edges = np.concatenate(([0], np.flatnonzero(head[order][1:] != head[order][:-1]) + 1, [len(order)]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = order[lo:hi]
+        if hi - lo > 1 and (res[part] != res[part[0]]).any():
+            order[lo:hi] = _merge([part[res[part] == r] for r in np.unique(res[part])], starts, rank, tail)
     a, b = order[:-1], order[1:]
     k = SHIFT[res[a], res[b]]
     same = (head[a] == head[b]) & (rank[starts[a] + k] == rank[starts[b] + k]) & (tail[a] == tail[b])
     cls = np.empty(len(starts), np.int64)
-    cls[order] = np.cumsum(np.concatenate(([False], ~same))) if len(starts) else 0
+    cls[order] = np.cumsum(np.concatenate(([False], ~same)))
     return order, cls
 
 
@@ -135,15 +151,29 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return v[at], at, first, np.concatenate((first[1:], [len(least)])) - 1
 
 
+def _first(*cols: np.ndarray) -> np.ndarray:
+    """Where sorted columns change: the first of each run of equal rows."""
+    out = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    out[:1] = True
+    return out
+
+
 def _anchored(docs: DataFrame) -> DataFrame:
-    """(doc_id, _sv_h, k, f, p, q) of the anchors whose key occurs more than once, from docs(doc_id, _sv_h, raw). Anchors cross the network as bytes, in blocks."""
+    """(doc_id, _sv_h, k, at) of the anchors whose key occurs more than once, from docs(doc_id, _sv_h, raw); at packs the first string's start, the anchor's place in it and the further strings.
+
+    Anchors cross the network as bytes, in blocks. Of equal texts (told by
+    hash) only the smallest doc_id is compared.
+    """
     buckets = buckets_of(docs.sparkSession)
 
     def block(held):
         k, i, h, at = map(np.concatenate, zip(*held))
         bucket = (k >> np.uint64(40)).astype(np.int64) % buckets
-        o = np.lexsort((k, bucket))
+        o = np.lexsort((i, at, h, k, bucket))
         k, i, h, at, bucket = (x[o] for x in (k, i, h, at, bucket))
+        k, i, h, at, bucket = (x[_first(k, h, at)] for x in (k, i, h, at, bucket))
         # Of a key that repeats in the chunk one occurrence is compared, the others are known to be picked.
         twin = np.concatenate(([False], k[1:] == k[:-1]))
         many = np.concatenate((twin[1:], [False])) | twin
@@ -171,14 +201,16 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
     def told(k, i, h, at):
         at = at >> 1
-        f = at >> 16
-        return pa.RecordBatch.from_arrays([pa.array(i, mask=i == NULL), pa.array(h), pa.array(k.view(np.int64)), pa.array(f), pa.array(f + (at >> 8 & 255)), pa.array(f + (at & 255))], ["doc_id", "_sv_h", "k", "f", "p", "q"])
+        return pa.RecordBatch.from_arrays([pa.array(i, mask=i == NULL), pa.array(h), pa.array(k.view(np.int64)), pa.array(at)], ["doc_id", "_sv_h", "k", "at"])
 
     def meet(held):
         k, i, h, at = (np.concatenate(c) for c in zip(*held))
-        o = np.argsort(k, kind="stable")
+        o = np.lexsort((i, at >> 1, h, k))
+        edge = np.flatnonzero(_first(k[o], h[o], at[o] >> 1))
+        many = np.bitwise_or.reduceat(at[o] & 1, edge) == 1 if len(o) else edge > 0
+        o = o[edge]
         same = np.concatenate(([False], k[o][1:] == k[o][:-1]))
-        keep = o[same | np.concatenate((same[1:], [False])) | (at[o] & 1 == 1)]
+        keep = o[same | np.concatenate((same[1:], [False])) | many]
         return told(k[keep], i[keep], h[keep], at[keep])
 
     def gather(batches):
@@ -198,7 +230,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
             yield meet(held)
 
     rows = docs.mapInArrow(find, "bucket long, " + ", ".join(f"{c} binary" for c in COLUMNS))
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, _sv_h long, k long, f long, p long, q long")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, _sv_h long, k long, at long")
 
 
 NULL = -(1 << 63)
@@ -252,18 +284,18 @@ def _forms(docs: DataFrame, picked: DataFrame) -> DataFrame:
 
     def around(batches):
         seen = {}
-        for b, of in documents_of(batches, ["doc_id", "_sv_h"], ["k", "f", "p", "q"], "raw"):
+        for b, of in documents_of(batches, ["doc_id", "_sv_h"], ["k", "at"], "raw"):
             out = []
-            for i, h, r, (k, f, p, q) in zip(b.column("doc_id").to_pylist(), b.column("_sv_h").to_pylist(), b.column("raw").to_pylist(), of):
-                at = ((i, h, y, x, r[y : z + LENGTH], int(a - y), int(a - y) + GRAM) for x, y, a, z in zip(*(v.tolist() for v in (k, f, p, q))))
-                out += _once(at, seen)
+            for i, h, r, (k, at) in zip(b.column("doc_id").to_pylist(), b.column("_sv_h").to_pylist(), b.column("raw").to_pylist(), of):
+                f, lo, span = at >> 16, at >> 8 & 255, at & 255
+                out += _once(((i, h, y, x, r[y : y + z + LENGTH], a, a + GRAM) for x, y, a, z in zip(*(v.tolist() for v in (k, f, lo, span)))), seen)
                 if len(seen) > HELD:
                     yield from _chunks(_flushed(seen))
                     seen.clear()
             yield _rows(out)
         yield from _chunks(_flushed(seen))
 
-    return beside(docs, picked, ["doc_id", "_sv_h"], ["f"]).mapInArrow(around, SPANS)
+    return beside(docs, picked, ["doc_id", "_sv_h"], ["at"]).mapInArrow(around, SPANS)
 
 
 def _halved(forms: DataFrame) -> DataFrame:
@@ -299,12 +331,16 @@ def _sorted(forms: DataFrame) -> DataFrame:
     """Covered spans of forms that meet in their bucket."""
 
     def flush(rows):
-        t = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
-        n = np.array([len(r[1]) for r in rows])
-        at, win = np.cumsum(n) - n, n - LENGTH + 1
+        # The bytes that a bucket shares begin at a multiple of V: equal strings, which hold them at one place, have one residue.
+        n, lo = np.array([len(r[1]) for r in rows]), np.array([r[5] for r in rows])
+        full = (n + 2 * V - 1) // V * V
+        at = np.cumsum(full) - full + (-lo) % V
+        t = np.zeros(int(full.sum()) + V, np.uint8)
+        t[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
+        win = n - LENGTH + 1
         own = np.repeat(np.arange(len(rows)), win)
         off = np.arange(len(own)) - np.repeat(np.cumsum(win) - win, win)
-        _, cls = repeats(t, at[own] + off)
+        _, cls = repeats(t, at[own] + off, aligned=True)
         doc, h, pos = (np.array([r[j] for r in rows])[own] for j in (2, 3, 4))
         pos = pos + off
         o = np.lexsort((pos, h, doc, cls))
@@ -321,23 +357,23 @@ def _sorted(forms: DataFrame) -> DataFrame:
         rows, held, bucket, seen, k0 = [], 0, [], {}, None
         for batch in batches:
             out = []
-            for k, ctx, i, h, s in zip(*(batch.column(c).to_pylist() for c in ("k", "ctx", "doc_id", "_sv_h", "s"))):
+            for k, ctx, i, h, s, lo in zip(*(batch.column(c).to_pylist() for c in ("k", "ctx", "doc_id", "_sv_h", "s", "lo"))):
                 if k != k0:
                     if len(seen) > 1:
-                        rows += [(k0, c, *place) for (_, c), (place, *_) in seen.items()]
+                        rows += [(k0, c, *place, lo) for (_, c), (place, _, lo, _) in seen.items()]
                         held += sum(len(c) for _, c in seen)
                     k0, seen = k, {}
                     if held >= BLOCK:
                         yield flush(rows)
                         rows, held = [], 0
-                out += _once([(i, h, s, k, ctx, 0, 0)], seen)
+                out += _once([(i, h, s, k, ctx, lo, 0)], seen)
             yield _rows(out)
         if len(seen) > 1:
-            rows += [(k0, c, *place) for (_, c), (place, *_) in seen.items()]
+            rows += [(k0, c, *place, lo) for (_, c), (place, _, lo, _) in seen.items()]
         if rows:
             yield flush(rows)
 
-    return forms.select("k", "ctx", "doc_id", "_sv_h", "s").repartition("k").sortWithinPartitions("k").mapInArrow(sort_blocks, SPANS)
+    return forms.select("k", "ctx", "doc_id", "_sv_h", "s", "lo").repartition("k").sortWithinPartitions("k").mapInArrow(sort_blocks, SPANS)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -367,7 +403,12 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
     docs = without(docs, "n_bytes", "n_removed", "n_spans", "kept").withColumn("_sv_h", F.xxhash64("text"))
     raw = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "_sv_h", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    spans = repeated_spans(raw)
+    # Equal texts but for the first are covered whole.
+    size = F.octet_length("text")
+    long = docs.where(size >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), "_sv_h", F.xxhash64(F.lit(1), "text").alias("g"), size.cast("long").alias("e"))
+    first = written(long.groupBy("_sv_h", "g").agg(F.min(F.struct("doc_id")).alias("o"), F.max(F.struct("doc_id")).alias("z")).where("o <> z or (o.doc_id is null and z.doc_id is not null)"))
+    copies = long.join(first, ["_sv_h", "g"]).where(~F.col("doc_id").eqNullSafe(F.col("o.doc_id"))).select("doc_id", "_sv_h", F.lit(0).cast("long").alias("s"), "e").distinct()
+    spans = written(repeated_spans(raw).unionByName(copies), first)
     rest = [c for c in docs.columns if c != "_sv_h"]
 
     def cut(batches):
