@@ -3,7 +3,9 @@
 Null texts have no words and are clean; items without words are ignored;
 repeated items count under each of their ids. The pattern tables of one pass
 hold at most ``max_words`` benchmark words; a larger benchmark is searched in
-blocks of items, one pass each, with the hits carried along.
+blocks of items, one pass each, with the hits carried along. Rows are searched
+one by one, so repeats agree. Input columns named ``_hit`` or ``_items``, or
+beginning with ``_sv_``, are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import table
+from .common import parts, table, without
 
 WINDOW = 10
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -90,13 +92,13 @@ def _blocks(bench: DataFrame, max_words: int):
 def contamination(docs: DataFrame, bench: DataFrame, max_words: int = 500_000) -> DataFrame:
     """docs(doc_id, text, ...) plus ``_hit`` (a byte per word) and ``_items`` (ids of items found)."""
     spark = docs.sparkSession
-    out, first = docs, True
+    out, first = without(docs, "_hit", "_items"), True
     for block in _blocks(bench.select("item_id", "text"), max_words):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared, first=first):
             wm = WuManber(shared.value)
-            for b in batches:
+            for b in (x for y in batches for x in parts(y)):
                 hits, found = [], []
                 for j, t in enumerate(b.column("text").to_pylist()):
                     h, it = wm.search(words(t))

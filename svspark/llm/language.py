@@ -1,102 +1,123 @@
 """Operator 9: language identification by rank-order profiles.
 
 A profile ranks a language's TOP most frequent character n-grams (1 to 3
-characters, hashed to 65536 codes; letters folded, other characters one blank).
-A text's distance is the mean out-of-place distance of its own TOP n-grams, TOP
-for one the profile lacks. Ties in frequency rank by code.
+characters; letters folded, letters and marks kept, all else one blank). A
+text's distance is the mean out-of-place distance of its own TOP n-grams, TOP
+for one the profile lacks. Ties in frequency rank by code points.
 
 Learned only from text and lang of rows whose crc32(doc_id as text) mod 5 is
 not 0, null languages left out; at most SAMPLE documents per language, those of
 smallest doc_id hash (a bounded, documented sample). Null texts and texts
-without letters are ``und`` with score 0, as all texts are if nothing was learned.
+without letters (Unicode category L) are ``und`` with score 0, as all texts are
+if nothing was learned. Input columns named lang_pred or score, or beginning
+with ``_sv_``, are replaced. Rows are judged one by one, so repeats agree.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import parts, table, without
 
-TOP, SAMPLE, SPAN = 300, 400, 1 << 20
+TOP, SAMPLE, SPAN, LANGUAGES = 300, 400, 1 << 20, 10_000
 LOW, ENOUGH = 0.01, 100
-LETTER = re.compile(r"[^\W\d_]")
-GAPS = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+GAPS = regex.compile(r"[^\p{L}\p{M}]+")
+
+
+def _sum(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(code, return_inverse=True)
+    return code, np.bincount(at, weights=n, minlength=len(code)).astype(np.int64)
 
 
-def gram_counts(text: str) -> np.ndarray:
-    """Counts over 65536 codes of all n-grams of the whole text; n-grams across chunks of a long text are kept."""
-    t, out = " " + GAPS.sub(" ", text.lower()).strip() + " ", np.zeros(65536, np.int64)
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (three code points and one, 21 bits each) and counts of all n-grams of the whole text; n-grams across chunks of a long text are kept."""
+    t = " " + GAPS.sub(" ", text.lower()).strip() + " "
+    code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for i in range(0, len(t), SPAN):
         lead = min(i, 2)
-        c = np.frombuffer(t[i - lead : i + SPAN].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        codes = []
-        for n, salt in ((1, 0x9E37), (2, 0x79B9), (3, 0x7F4A)):
-            if len(c) < n:
-                continue
-            h = np.full(len(c) - n + 1, np.uint64(salt))
-            for j in range(n):
-                h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            codes.append((h[max(0, lead - n + 1):] >> np.uint64(48)).astype(np.int64))
-        out += np.bincount(np.concatenate(codes), minlength=65536)
-    return out
+        c = np.frombuffer(t[i - lead : i + SPAN].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        found, v = [c[lead:]], c
+        for k in (1, 2):
+            v = v[:-1] << np.uint64(21) | c[k:]
+            found.append(v[max(0, lead - k) :])
+        one, m = np.unique(np.concatenate(found), return_counts=True)
+        code, n = (one, m) if i == 0 else _sum(np.concatenate((code, one)), np.concatenate((n, m)))
+    return code, n
 
 
-def top_codes(counts: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero(counts)
-    return at[np.lexsort((at, -counts[at]))][:TOP]
+def top_codes(code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    if len(n) > TOP:
+        keep = n >= np.partition(n, len(n) - TOP)[len(n) - TOP]
+        code, n = code[keep], n[keep]
+    return code[np.lexsort((code, -n))][:TOP]
 
 
 def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Profile of each language: TOP codes in order. Counting is distributed; what comes back is TOP rows per language."""
-    d = docs.where("lang is not null and text is not null").withColumn("_h", F.xxhash64("doc_id"))
-    own = d.select("lang", "doc_id", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= SAMPLE)
-    d = d.select("doc_id", "lang", "text").join(own.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    """Profile of each language: TOP codes in order. Counting is distributed; what comes back is TOP rows per language.
+
+    The smallest hashes are picked among about 2 * SAMPLE documents below a
+    bound that the language's count sets, so no language is ordered whole.
+    """
+    d = docs.where("lang is not null and text is not null").withColumn("_sv_o", F.xxhash64("doc_id"))
+    many = d.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(many) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not many:
+        return {}
+    share = F.create_map(*(F.lit(x) for r in many for x in (r["lang"], min(1.0, 2.0 * SAMPLE / r["n"] + 20 / r["n"]))))
+    some = d.where(F.col("_sv_o") / F.lit(2.0**64) + 0.5 <= share[F.col("lang")])
+    own = some.select("lang", "doc_id", "_sv_o").withColumn("_sv_n", F.row_number().over(Window.partitionBy("lang").orderBy("_sv_o", "doc_id"))).where(F.col("_sv_n") <= SAMPLE)
+    d = some.select("doc_id", "lang", "text").join(own.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
 
     def count(batches):
-        by: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                by[lang] = by.get(lang, 0) + gram_counts(t)
-        for lang, c in by.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "code", "c"])
+        by: dict[str, tuple] = {}
+        for batch in batches:
+            for b in parts(batch):
+                for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                    got = gram_counts(t)
+                    by[lang] = _sum(*map(np.concatenate, zip(by[lang], got))) if lang in by else got
+        for lang, (code, n) in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], ["lang", "code", "c"])
 
     got = d.select("lang", "text").mapInArrow(count, "lang string, code long, c long").groupBy("lang", "code").agg(F.sum("c").alias("c"))
+    # Profiles hold the sample's n-grams, a bounded table.
     ranked = got.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "code"))).where(F.col("r") <= TOP)
-    out: dict[str, np.ndarray] = {}
+    out: dict[str, list] = {}
     for r in ranked.orderBy("lang", "r").collect():
         out.setdefault(r["lang"], []).append(r["code"])
-    return {k: np.array(v) for k, v in out.items()}
+    return {k: np.array(v, np.int64).view(np.uint64) for k, v in out.items()}
 
 
-def classify(text: str | None, langs: list[str], ranks: np.ndarray) -> tuple[str, float]:
+def classify(text: str | None, langs: list[str], profiles: list[tuple[np.ndarray, np.ndarray]]) -> tuple[str, float]:
+    """profiles: per language its codes in order and the rank of each."""
     if not text or not langs or not LETTER.search(text):
         return "und", 0.0
-    top = top_codes(gram_counts(text))
-    away = np.minimum(np.abs(ranks[:, top] - np.arange(len(top))), TOP).mean(axis=1)
+    top = top_codes(*gram_counts(text))
+    own, away = np.arange(len(top)), []
+    for code, rank in profiles:
+        at = np.minimum(np.searchsorted(code, top), len(code) - 1)
+        away.append(np.where(code[at] == top, np.minimum(np.abs(rank[at] - own), TOP), TOP).mean())
     k = int(np.argmin(away))
     return langs[k], float(1 - away[k] / TOP)
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """docs plus lang_pred and score."""
+    docs = without(docs, "lang_pred", "score")
     langs = sorted(profiles)
-    ranks = np.full((len(langs), 65536), 2 * TOP, np.int32)
-    for i, k in enumerate(langs):
-        ranks[i, profiles[k]] = np.arange(len(profiles[k]))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, ranks))
+    shared = docs.sparkSession.sparkContext.broadcast((langs, [(np.sort(profiles[k]), np.argsort(profiles[k])) for k in langs]))
 
     def run(batches):
-        for b in batches:
-            got = [classify(t, *shared.value) for t in b.column("text").to_pylist()]
-            yield b.append_column("lang_pred", pa.array([g[0] for g in got], pa.string())).append_column("score", pa.array([g[1] for g in got], pa.float64()))
+        for batch in batches:
+            for b in parts(batch):
+                got = [classify(t, *shared.value) for t in b.column("text").to_pylist()]
+                yield b.append_column("lang_pred", pa.array([g[0] for g in got], pa.string())).append_column("score", pa.array([g[1] for g in got], pa.float64()))
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 

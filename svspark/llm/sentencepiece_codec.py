@@ -8,7 +8,9 @@ U+2581 and one is put in front of a non-empty text; nothing else is normalised.
 Pieces have U+2581 only at their front, so runs that begin with it are encoded
 apart and remembered in a bounded cache; this changes no result.
 
-Null and empty texts have no ids; decoding gives the empty text.
+Null and empty texts have no ids; decoding gives the empty text. Input columns
+named ids or decoded, or beginning with ``_sv_``, are replaced. Rows are coded
+one by one, so repeats agree.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import parts, table, without
 
 MARK, RUN = "▁", re.compile(" *[^ ]+| +")
 CACHE = 300_000
@@ -102,8 +104,7 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         codec = Codec(model_file)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in parts(b):
                 flat, at, decoded = array("i"), [0], []
                 for t in part.column("text").to_pylist():
                     ids = codec.encode(t)
@@ -113,6 +114,7 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
                 yield part.append_column("ids", lists).append_column("decoded", pa.array(decoded, pa.string()))
 
+    docs = without(docs, "ids", "decoded")
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 

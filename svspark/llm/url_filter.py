@@ -3,11 +3,12 @@
 Null urls and urls without ``://`` have an empty host and path, fit no rule and
 score 0, which is an allow. Rows are judged one by one, so repeats agree.
 
-The pages carry no labels. Accepted and rejected training urls come from SEEDS,
-words of host names that mark promotional sites; the models then judge every
-url without a rule by its characters. Both models count all distinct urls of
-their kind but a fifth by hash, which calibrates; counts stay distributed and
-meet the urls by a join. Where no host has a seed word, every url is allowed.
+The urls that the rules allow and block are the accepted and rejected examples;
+the models then judge every url without a rule by its characters. Both models
+count all distinct urls of their kind but a fifth by hash, which calibrates;
+counts stay distributed and meet the urls by a join. Where the rules give no
+examples of one kind, every url without a rule is allowed. Input columns named
+host, path, rule, verdict, ratio, or beginning with ``_sv_``, are replaced.
 """
 
 from __future__ import annotations
@@ -19,16 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, width, written
+from .common import release, table, width, without, written
 
 # The rules (verdict, host, path prefix).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-SEEDS = ("spam", "pills", "casino", "viagra", "xxx", "porn", "loan", "bet", "malware", "phish")
 ORDER, SCALE = 4, 1e9
 
 
 def host_path(url) -> tuple:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     stop = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     host = F.translate(stop, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -78,7 +78,7 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         else:
             c = c.withColumn("tail", F.substring("gram", 2, k)).join(p.withColumnRenamed("gram", "tail"), "tail").drop("tail")
         c = c.join(seen, "ctx")
-        p = written(c.select("gram", *(F.when(F.col(f"{x}_n") > 0, (F.col(x) + F.col(f"{x}_d") * F.col(f"{x}_p")) / (F.col(f"{x}_n") + F.col(f"{x}_d"))).otherwise(F.col(f"{x}_p")).alias(f"{x}_p") for x in ("good", "bad"))))
+        p = written(c.select("gram", *(F.when(F.col(f"{x}_n") > 0, (F.col(x) + F.col(f"{x}_d") * F.col(f"{x}_p")) / (F.col(f"{x}_n") + F.col(f"{x}_d"))).otherwise(F.col(f"{x}_p")).alias(f"{x}_p") for x in ("good", "bad"))), *([] if k == 0 else [p]))
     return p.select("gram", F.round((F.log("good_p") - F.log("bad_p")) * SCALE).cast("long").alias("v"))
 
 
@@ -106,31 +106,30 @@ def cut_point(points: DataFrame) -> float:
 def judge(pages: DataFrame) -> DataFrame:
     """pages(url, ...) plus host, path, rule, verdict and ratio."""
     host, path = host_path(F.col("url"))
-    p = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
-    bad = F.lit(False)
-    for s in SEEDS:
-        bad = bad | F.col("host").contains(s)
+    p = without(pages, "host", "path", "rule", "verdict", "ratio").withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
+    rule, verdict = rule_columns(F.col("host"), F.col("path"))
+    bad = verdict == "block"
     u = written(p.where("host <> ''").select(F.concat("host", "path").alias("u"), bad.alias("bad")).distinct())
-    of = {r["bad"]: r["n"] for r in u.groupBy("bad").agg(F.count("*").alias("n")).collect()}
+    of = {r["bad"]: r["n"] for r in u.where("bad is not null").groupBy("bad").agg(F.count("*").alias("n")).collect()}
     back = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
     few = F.lit(False)
     for b in (False, True):
         if of.get(b, 0) < 5:
-            few = few | (F.col("bad") == b)
-    at = written(grams(u.select("u", F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad", (few | ~back).alias("train"))))
+            few = few | F.col("bad").eqNullSafe(b)
+    at = written(grams(u.select("u", F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad", (F.col("bad").isNotNull() & (few | ~back)).alias("train"))))
     n = lambda b: F.sum(F.when(F.col("train") & (F.col("bad") == b), F.col("n")).otherwise(0))
     v = log_ratios(written(at.groupBy("gram").agg(n(False).alias("good"), n(True).alias("bad"))))
     score = at.join(v, "gram").groupBy("k1", "k2", "bad").agg((F.sum(F.col("v") * F.col("n")) / SCALE / F.sum("n")).alias("ratio"))
-    score = written(score)
+    score = written(score, at)
     cutoff = -math.inf
     if len(of) == 2:
-        held = u.where(back).select(F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad")
+        held = u.where(back & F.col("bad").isNotNull()).select(F.xxhash64("u").alias("k1"), F.xxhash64(F.lit("u"), "u").alias("k2"), "bad")
         cutoff = cut_point(score.join(held, ["k1", "k2", "bad"], "left_semi").select("ratio", "bad"))
     of_page = F.when(F.col("host") != "", F.concat("host", "path"))
     found = score.groupBy("k1", "k2").agg(F.min("ratio").alias("ratio"))
-    s = p.withColumns({"k1": F.xxhash64(of_page), "k2": F.xxhash64(F.lit("u"), of_page)}).join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    found = found.select(F.col("k1").alias("_sv_1"), F.col("k2").alias("_sv_2"), "ratio")
+    s = p.withColumns({"_sv_1": F.xxhash64(of_page), "_sv_2": F.xxhash64(F.lit("u"), of_page)}).join(found, ["_sv_1", "_sv_2"], "left").drop("_sv_1", "_sv_2")
     s = s.withColumn("ratio", F.when(F.col("host") == "", 0.0).otherwise(F.col("ratio")))
-    rule, verdict = rule_columns(F.col("host"), F.col("path"))
     by_model = F.when((F.col("host") == "") | (F.col("ratio") >= cutoff), "allow").otherwise("block")
     return s.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_model)})
 
