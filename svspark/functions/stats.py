@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def upper_nth(x, p: float = 0.5) -> Column:
     """A3: element floor(n*p) of the sorted non-null values; nothing is averaged."""
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) * F.lit(p)) + 1).cast("int"))
+    return F.get(F.array_sort(F.collect_list(x)), F.floor(F.count(x) * F.lit(p)).cast("int"))
 
 
 def reverse_complement(x) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from svspark.functions.stats import reverse_complement, upper_nth
+from svspark.functions.stats import reverse_complement
 from svspark.operators import intervals as iv
 from svspark.plans.views import E_SQL, G_SQL, I_SQL, evidence, genotypes, intervals, read
 
@@ -97,53 +97,6 @@ def carrier_counts(spark, d):
     return g.groupBy("site").agg(F.count_if(F.col("alt") > 0).alias("supp"), F.coalesce(F.sum(F.when(F.expr("alt > ref"), 2).when(F.expr("alt > 0"), 1)), F.lit(0)).alias("ac"), (2 * F.count("*")).alias("an"))
 
 
-@_query(f"WITH {G_SQL}, b AS (SELECT site, sample, max(alt) AS best FROM g GROUP BY site, sample) SELECT site, CAST(sum(best) AS BIGINT) AS ac, count(*) AS files FROM b GROUP BY site")
-def per_file_best_sum(spark, d):
-    return genotypes(spark, d).groupBy("site", "sample").agg(F.max("alt").alias("best")).groupBy("site").agg(F.sum("best").alias("ac"), F.count("*").alias("files"))
-
-
-@_query(f"WITH {I_SQL}, r AS (SELECT chrom, t, min(s) AS rep FROM i GROUP BY ALL) SELECT chrom, t, least(0, min(e - s - 250)) AS ci_lo, greatest(0, max(e - s - 250)) AS ci_hi FROM i GROUP BY chrom, t")
-def ci_from_spread(spark, d):
-    off = F.col("e") - F.col("s") - 250
-    return intervals(spark, d).groupBy("chrom", "t").agg(F.least(F.lit(0), F.min(off)).alias("ci_lo"), F.greatest(F.lit(0), F.max(off)).alias("ci_hi"))
-
-
-@_query(f"WITH {G_SQL} SELECT id, ln, CASE WHEN (ref >= 3 AND alt * 6 >= 20) OR (precise AND ref >= 5) THEN 'PASS' ELSE 'LowQual' END AS filter FROM g")
-def site_filter(spark, d):
-    return genotypes(spark, d).select("id", "ln", F.when(F.expr("(ref >= 3 and alt * 6 >= 20) or (precise and ref >= 5)"), "PASS").otherwise("LowQual").alias("filter"))
-
-
-_GL = "ref * log10(0.01) + alt * log10(0.99) AS g0, (ref + alt) * -log10(2.0) AS g1, ref * log10(0.99) + alt * log10(0.01) AS g2"
-
-
-@_query(f"WITH {G_SQL}, l AS (SELECT id, ln, {_GL} FROM g), b AS (SELECT *, greatest(g0, g1, g2) AS m FROM l) SELECT id, ln, CASE WHEN g2 >= m THEN '0/0' WHEN g1 >= m THEN '0/1' ELSE '1/1' END AS gt, CAST(round(-10 * greatest(g2 - m, -1000)) AS BIGINT) AS pl_rr, CAST(round(-10 * greatest(g1 - m, -1000)) AS BIGINT) AS pl_ra, CAST(round(-10 * greatest(g0 - m, -1000)) AS BIGINT) AS pl_aa FROM b")
-def diploid_gl_pl_gq(spark, d):
-    """G1 at a fixed base quality of 20; ties go toward the reference."""
-    g = genotypes(spark, d).selectExpr("id", "ln", "ref * log10(0.01D) + alt * log10(0.99D) g0", "(ref + alt) * -log10(2.0D) g1", "ref * log10(0.99D) + alt * log10(0.01D) g2").withColumn("m", F.greatest("g0", "g1", "g2"))
-    pl = lambda c: F.round(-10 * F.greatest(F.col(c) - F.col("m"), F.lit(-1000.0))).cast("long")
-    return g.select("id", "ln", F.when(F.expr("g2 >= m"), "0/0").when(F.expr("g1 >= m"), "0/1").otherwise("1/1").alias("gt"), pl("g2").alias("pl_rr"), pl("g1").alias("pl_ra"), pl("g0").alias("pl_aa"))
-
-
-@_query(f"WITH {G_SQL}, v AS (SELECT *, CASE WHEN alt >= 3 THEN alt / (ref + alt) END AS vaf FROM g WHERE ref + alt > 0), s AS (SELECT site, count(*) AS n, count(vaf) AS carriers, list_sort(list(vaf) FILTER (WHERE vaf IS NOT NULL))[CAST(floor(count(vaf) * 0.5) AS INT) + 1] AS med, list_sort(list(ref))[CAST(floor(count(ref) * 0.9) AS INT) + 1] AS p90 FROM v GROUP BY site) SELECT site, n, carriers, round(med, 6) AS med_vaf, p90, CASE WHEN carriers > 0 AND coalesce(med >= 0.15, FALSE) AND p90 >= 40 THEN 'PASS' ELSE 'FailGermline' END AS filter FROM s")
-def sv_germline_filter(spark, d):
-    """L2: carriers present, upper median of their alt fractions, 90th percentile of support."""
-    g = genotypes(spark, d).where("ref + alt > 0").withColumn("vaf", F.expr("case when alt >= 3 then alt / (ref + alt) end"))
-    s = g.groupBy("site").agg(F.count("*").alias("n"), F.count("vaf").alias("carriers"), F.array_sort(F.collect_list("vaf")).alias("v"), upper_nth("ref", 0.9).alias("p90"))
-    s = s.withColumn("med", F.get("v", F.floor(F.col("carriers") * 0.5).cast("int")))
-    ok = (F.col("carriers") > 0) & F.coalesce(F.col("med") >= 0.15, F.lit(False)) & (F.col("p90") >= 40)
-    return s.select("site", "n", "carriers", F.round("med", 6).alias("med_vaf"), "p90", F.when(ok, "PASS").otherwise("FailGermline").alias("filter"))
-
-
-@_query(f"WITH {G_SQL} SELECT site, count(*) FILTER (WHERE role = 'N') AS controls, count(*) FILTER (WHERE role <> 'N') AS tumors, CASE WHEN count(*) FILTER (WHERE role = 'N' AND alt > 0.2 * (ref + alt)) = 0 AND count(*) FILTER (WHERE role = 'N') > 0 AND count(*) FILTER (WHERE role <> 'N' AND ref + alt >= 10 AND alt >= 0.2 * (ref + alt)) > 0 THEN 'PASS' ELSE 'FailSomatic' END AS filter FROM g GROUP BY site")
-def somatic_filter(spark, d):
-    """L1: every control clean, a tumor with coverage and alt fraction."""
-    control = F.col("role") == "N"
-    total = F.col("ref") + F.col("alt")
-    s = genotypes(spark, d).groupBy("site").agg(F.count_if(control).alias("controls"), F.count_if(~control).alias("tumors"),
-        F.count_if(control & (F.col("alt") > 0.2 * total)).alias("bad"), F.count_if(~control & (total >= 10) & (F.col("alt") >= 0.2 * total)).alias("good"))
-    return s.select("site", "controls", "tumors", F.when(F.expr("bad = 0 and controls > 0 and good > 0"), "PASS").otherwise("FailSomatic").alias("filter"))
-
-
 @_query("SELECT doc_id, reverse(translate(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'ACGT', 'TGCA')) AS rc FROM documents")
 def revcomp(spark, d):
     return read(spark, d, "documents").select("doc_id", reverse_complement("text").alias("rc"))
@@ -161,12 +114,6 @@ def every_second_ref(spark, d):
     return evidence(spark, d).withColumn("k", F.row_number().over(w)).where("k % 2 = 1").groupBy("sample").agg(F.count("*").alias("n"), F.sum("qual").alias("qual"))
 
 
-@_query("SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 0 WHEN o_custkey % 4 = 1 THEN 1 WHEN (o_custkey % 4 = 2) = (o_orderkey % 100 < o_custkey % 100) THEN 2 ELSE 3 END AS svt FROM orders")
-def svt_class_flags(spark, d):
-    """FF, RR, FR and RF pairs to inversion, deletion and duplication classes."""
-    return read(spark, d, "orders").select("o_orderkey", F.expr("case when o_custkey % 4 = 0 then 0 when o_custkey % 4 = 1 then 1 when (o_custkey % 4 = 2) = (o_orderkey % 100 < o_custkey % 100) then 2 else 3 end").alias("svt"))
-
-
 @_query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def anti_unmatched(spark, d):
     alt = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -179,17 +126,6 @@ def semi_alt_reads(spark, d):
     return read(spark, d, "orders").select("o_orderkey").join(alt, "o_orderkey", "left_semi")
 
 
-_CIGAR = "concat(CAST(l_linenumber AS {0}), 'S', CAST(l_suppkey % 90 + 10 AS {0}), 'M', CAST(l_partkey % 7 + 1 AS {0}), 'D', CAST(l_orderkey % 50 + 1 AS {0}), 'M')"
-
-
-@_query(f"WITH c AS (SELECT l_orderkey AS id, l_linenumber AS ln, {_CIGAR.format('VARCHAR')} AS cigar FROM lineitem) SELECT id, ln, cigar, CAST(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)]) AS BIGINT) AS ref_len, CAST(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[MIS=X]', 1)]) AS BIGINT) AS read_len FROM c")
-def cigar_tokens(spark, d):
-    """Reference and read lengths of a CIGAR string by its tokens."""
-    c = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), F.expr(_CIGAR.format("string")).alias("cigar"))
-    total = lambda ops: F.expr(f"aggregate(regexp_extract_all(cigar, '([0-9]+)[{ops}]', 1), 0L, (a, x) -> a + cast(x as bigint))")
-    return c.select("id", "ln", "cigar", total("MDN=X").alias("ref_len"), total("MIS=X").alias("read_len"))
-
-
 _BND = "CASE o_custkey % 4 WHEN 0 THEN concat('N]', p, ']') WHEN 1 THEN concat('[', p, '[N') WHEN 2 THEN concat('N[', p, '[') ELSE concat(']', p, ']N') END"
 
 
@@ -201,26 +137,6 @@ def bnd_alt(spark, d):
     return b.select("o_orderkey", F.expr(_BND).alias("alt")).select("o_orderkey", "alt", part(1).alias("chr2"), part(2).cast("long").alias("pos2"))
 
 
-@_query("WITH b AS (SELECT item_id, substr(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 1, 60) AS s FROM benchmark) SELECT a.item_id, levenshtein(a.s, b.s) AS ed, CASE WHEN greatest(length(a.s), length(b.s)) > 0 THEN round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) END AS identity FROM b a JOIN b ON b.item_id = a.item_id + 1")
-def edit_identity(spark, d):
-    """1 - distance / longer length of neighbouring sequences."""
-    b = read(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 60).alias("s"))
-    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
-    longer = F.greatest(F.length("s"), F.length("t"))
-    ed = F.levenshtein("s", "t")
-    return b.join(n, "item_id").select("item_id", ed.cast("long").alias("ed"), F.when(longer > 0, F.round(1 - ed / longer, 6)).alias("identity"))
-
-
-@_query()
-def edit_identity_whole(spark, d):
-    """F6, raw form only, over whole sequences; edit_identity compares the first 60 characters, as its SQL does."""
-    b = read(spark, d, "benchmark").select("item_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
-    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("s").alias("t"))
-    longer = F.greatest(F.length("s"), F.length("t"))
-    ed = F.levenshtein("s", "t")
-    return b.join(n, "item_id").select("item_id", ed.cast("long").alias("ed"), F.when(longer > 0, F.round(1 - ed / longer, 6)).alias("identity"))
-
-
 @_query(f"WITH {G_SQL}, c AS (SELECT id, ln, (ref + alt) / 10.0::DOUBLE AS x FROM g), l AS (SELECT id, ln, list_sort([{{'a': -greatest(-0.5::DOUBLE * (x - m) * (x - m) / 0.25::DOUBLE / 2.302585092994046::DOUBLE, -1000.0::DOUBLE), 'cn': m}} FOR m IN range(10)]) AS l FROM c) SELECT id, ln, l[1].cn AS cn, round(10 * (l[2].a - l[1].a), 4) AS gq FROM l")
 def cn_likelihoods(spark, d):
     """Normal log likelihoods of copy numbers 0 to 9 at sd 0.5; quality is best less second. No shuffle: an array per row."""
@@ -238,21 +154,6 @@ def dosage_r2_pairs(spark, d):
     return s.selectExpr("site", "n", "case when n < 2 or n * sxx - sx * sx <= 0 or n * syy - sy * sy <= 0 then -1D else round((n * sxy - sx * sy) * (n * sxy - sx * sy) / ((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) end r2")
 
 
-@_query(f"WITH {G_SQL} SELECT id, ln, alt >= 8 OR (NOT precise AND alt >= 2) OR (ref >= 3 AND alt >= 4) AS retained, CASE WHEN role = 'R' THEN alt >= 8 OR precise OR ref * 10000 >= 200000 ELSE precise OR (alt >= 8 AND ref >= 9) END AS cnv_kept, CASE WHEN alt * 3 < 15 THEN 'LowQual' ELSE 'PASS' END AS ft FROM g")
-def allele_keep_rules(spark, d):
-    """Retained alleles, copy-number losses and gains kept, sample filter."""
-    return genotypes(spark, d).selectExpr("id", "ln", "alt >= 8 or (not precise and alt >= 2) or (ref >= 3 and alt >= 4) retained",
-        "case when role = 'R' then alt >= 8 or precise or ref * 10000 >= 200000 else precise or (alt >= 8 and ref >= 9) end cnv_kept", "case when alt * 3 < 15 then 'LowQual' else 'PASS' end ft")
-
-
-@_query(f"WITH {G_SQL}, s AS (SELECT site, min(ref) FILTER (WHERE role = 'N') AS lo, max(ref) FILTER (WHERE role = 'N') AS hi, min(ref) FILTER (WHERE role <> 'N') AS tlo, max(ref) FILTER (WHERE role <> 'N') AS thi FROM g GROUP BY site) SELECT site, coalesce(tlo <= lo - 20 OR thi >= hi + 20, FALSE) AS somatic FROM s")
-def somatic_cnv(spark, d):
-    """L3: some tumor lies at the offset or more from every control. Extremes of the controls decide, so samples never cross."""
-    n, t = F.col("role") == "N", F.col("role") != "N"
-    s = genotypes(spark, d).groupBy("site").agg(F.min(F.when(n, F.col("ref"))).alias("lo"), F.max(F.when(n, F.col("ref"))).alias("hi"), F.min(F.when(t, F.col("ref"))).alias("tlo"), F.max(F.when(t, F.col("ref"))).alias("thi"))
-    return s.select("site", F.expr("coalesce(tlo <= lo - 20 or thi >= hi + 20, false)").alias("somatic"))
-
-
 @_query(f"WITH {G_SQL} SELECT site, arg_max(id, (alt, ref, -id, -ln)) AS id, max(alt) AS score FROM g GROUP BY site")
 def best_rep_per_group(spark, d):
     """Highest score, then quality, then first. max_by combines before the shuffle, so no group is ever sorted in one task."""
@@ -267,30 +168,6 @@ def adjacent_noise(spark, d):
     return x.select("sample", F.greatest(F.round(F.get("v", F.floor(F.size("v") / 2).cast("int")) / 0.9539, 6), F.lit(0.02)).alias("noise"))
 
 
-@_query(f"WITH {I_SQL}, b AS (SELECT DISTINCT chrom, s + 50 AS bp FROM i WHERE ln = 1) SELECT b.chrom, bp, count(*) AS spanning FROM b JOIN i ON i.chrom = b.chrom AND i.s <= bp AND bp < i.e GROUP BY ALL")
-def interval_overlap_depth(spark, d):
-    """Intervals over each breakpoint. Intervals are dealt to the bins that they touch, breakpoints to one."""
-    i = intervals(spark, d)
-    b = i.where("ln = 1").select("chrom", (F.col("s") + 50).alias("bp")).distinct().withColumn("bin", F.expr("bp div 1000"))
-    near = i.select("chrom", "s", "e", F.explode(F.sequence(F.expr("s div 1000"), F.expr("(e - 1) div 1000"))).alias("bin"))
-    return b.join(near, ["chrom", "bin"]).where("s <= bp and bp < e").groupBy("chrom", "bp").agg(F.count("*").alias("spanning"))
-
-
-@_query()
-def interval_overlap_depth_all(spark, d):
-    """J7 over the breakpoints of all intervals; interval_overlap_depth asks only those of first lines, as its SQL does. No SQL: its range join is quadratic."""
-    return iv.spanning(intervals(spark, d))
-
-
-@_query(f"WITH {E_SQL}, b AS (SELECT DISTINCT chrom, pos FROM e WHERE svt = 'click'), u AS (SELECT e.id, e.pos, max(b.pos) AS before FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos <= e.pos GROUP BY ALL), v AS (SELECT e.id, min(b.pos) AS after FROM e LEFT JOIN b ON b.chrom = e.chrom AND b.pos >= e.pos GROUP BY ALL) SELECT id, CASE WHEN after IS NULL OR pos - before <= after - pos THEN before ELSE after END AS boundary FROM u JOIN v USING (id)")
-def nearest_boundary(spark, d):
-    """Nearest boundary, the lower on ties; one ordering per chromosome instead of a range join."""
-    w = Window.partitionBy("chrom").orderBy("pos")
-    e = evidence(spark, d).withColumn("b", F.when(F.col("svt") == "click", F.col("pos")))
-    at = e.withColumn("before", F.max("b").over(w)).withColumn("after", F.min("b").over(Window.partitionBy("chrom").orderBy("pos").rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-    return at.select("id", F.expr("case when after is null or pos - before <= after - pos then before else after end").alias("boundary"))
-
-
 @_query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'N' AND l_discount > 0.05")
 def intersect_reads(spark, d):
     """Reads in both evidence sets."""
@@ -298,8 +175,3 @@ def intersect_reads(spark, d):
     return r.where("l_returnflag = 'R'").select("l_suppkey").intersect(r.where("l_returnflag = 'N' and l_discount > 0.05").select("l_suppkey"))
 
 
-@_query(f"WITH {G_SQL} SELECT id, ln, concat(CASE role WHEN 'R' THEN 'DEL' WHEN 'A' THEN 'DUP' ELSE 'INV' END, lpad(CAST(site AS VARCHAR), 8, '0')) AS name, CASE WHEN ref + alt > 0 THEN CAST(round(2.0::DOUBLE * alt / (ref + alt) * 10) AS BIGINT) ELSE -1 END AS rdcn FROM g")
-def padded_id_rdcn(spark, d):
-    """Zero-padded names; rounded depth ratio, -1 without flanks."""
-    return genotypes(spark, d).selectExpr("id", "ln", "concat(case role when 'R' then 'DEL' when 'A' then 'DUP' else 'INV' end, lpad(cast(site as string), 8, '0')) name",
-        "case when ref + alt > 0 then cast(round(2D * alt / (ref + alt) * 10) as bigint) else -1 end rdcn")
