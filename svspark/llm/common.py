@@ -418,10 +418,10 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 
 def smallest_id(rows: DataFrame, comp: DataFrame, out: str) -> DataFrame:
-    """rows(doc_id, node, ...) less node, plus ``out``: the smallest doc_id of the node's component, the own doc_id for rows without node."""
+    """rows(doc_id, node, ...) less node, plus _sv_c, the node's component (null for rows without node), and ``out``, the smallest doc_id of it, the own one for rows without."""
     named = rows.join(comp, "node", "left").withColumn("_sv_c", F.coalesce("component", "node")).drop("component", "node")
     least = named.where("_sv_c is not null").groupBy("_sv_c").agg(F.min("doc_id").alias(out), F.max("doc_id").alias("_sv_z")).where(F.col(out) != F.col("_sv_z")).select("_sv_c", out)
-    return named.join(written(least), "_sv_c", "left").withColumn(out, F.coalesce(out, "doc_id")).drop("_sv_c")
+    return named.join(written(least), "_sv_c", "left").withColumn(out, F.coalesce(out, "doc_id"))
 
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

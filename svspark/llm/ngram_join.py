@@ -160,7 +160,7 @@ def ranks(s: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """doc_id, _sv_h (hash of the text), n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs(doc_id, text)."""
+    """doc_id, _sv_h (hash of the text), n_shingles, _sv_c and component_id (smallest doc_id reachable by links, itself included) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     texts = docs.select("text")
     shared = spark.sparkContext.broadcast(frequent(texts))
@@ -201,9 +201,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of each component with the smallest doc_id, then text hash; of rows equal in both, one."""
     c = written(ngram_components(docs))
-    first = c.groupBy("component_id").agg(F.min(F.struct("doc_id", "_sv_h")).alias("f"))
-    lone = F.struct("doc_id", "_sv_h").eqNullSafe(F.col("f")) | F.col("n_shingles").eqNullSafe(0)
-    stay = written(c.alias("c").join(first.alias("o"), F.expr("c.component_id <=> o.component_id")).where(lone).groupBy("doc_id", "_sv_h").agg(F.count("*").alias("_sv_n")), c)
+    first = c.where("_sv_c is not null").groupBy("_sv_c").agg(F.min(F.struct("doc_id", "_sv_h")).alias("f")).select("f.*")
+    stay = first.unionByName(c.where("_sv_c is null").select("doc_id", "_sv_h"))
+    of = c.select("doc_id", "_sv_h").groupBy("doc_id", "_sv_h").agg(F.count("*").alias("_sv_n"))
+    stay = written(stay.distinct().alias("s").join(of.alias("o"), F.expr("s.doc_id <=> o.doc_id and s._sv_h <=> o._sv_h")).select("s.*", "_sv_n"), c)
     keyed = docs.withColumn("_sv_h", F.xxhash64("text")).alias("d")
     same = F.expr("d.doc_id <=> s.doc_id and d._sv_h <=> s._sv_h")
     kept = keyed.join(stay.alias("s"), same, "left_semi")
