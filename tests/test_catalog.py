@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from svspark.operators import intervals
-from svspark.plans import catalog, faithful  # noqa: F401  registers its queries
+from svspark.plans import catalog, faithful, rules  # noqa: F401  register their queries
 
 DATA = "/root/testdata/sf0.001"
 
