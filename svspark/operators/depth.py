@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +108,70 @@ def cpg_clusters(sites: DataFrame, least: int) -> DataFrame:
     run = sites.groupBy("chrom", "pos").agg(F.sum("depth").alias("depth")).withColumn("run", F.col("pos") - F.row_number().over(w))
     pair = run.withColumn("k", F.floor((F.row_number().over(Window.partitionBy("chrom", "run").orderBy("pos")) - 1) / 2))
     return pair.groupBy("chrom", "run", "k").agg(F.sum("depth").alias("depth")).groupBy("chrom").agg(F.count_if(F.col("depth") >= least).alias("clusters"))
+
+
+def loss_runs(windows: DataFrame, longest: int, low: float = 0.1, strong: float = 0.5) -> DataFrame:
+    """(chrom, s, e, windows, state, masked): neighbouring windows(chrom, s, e, valid, cov, expected) of one state.
+
+    Runs with hardly any coverage are losses if windows of clear coverage lie
+    on both sides and they span at most ``longest`` bases; else they are masked
+    like windows that are not valid or expect nothing.
+    """
+    share = F.col("cov") / F.nullif(F.col("expected").cast("double"), F.lit(0.0))
+    state = F.when(~F.col("valid") | (F.col("expected") <= 0), "masked").when(share < low, "low").when(share >= strong, "strong").otherwise("other")
+    w = Window.partitionBy("chrom").orderBy("s")
+    step = windows.select("chrom", "s", "e", state.alias("state")).withColumn("new", (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int"))
+    runs = step.withColumn("run", F.sum("new").over(w)).groupBy("chrom", "run", "state").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("windows"))
+    flank = F.lag("state").over(w).eqNullSafe(F.lit("strong")) & F.lead("state").over(w).eqNullSafe(F.lit("strong"))
+    masked = (F.col("state") == "masked") | ((F.col("state") == "low") & ~(flank & (F.col("e") - F.col("s") <= longest)))
+    return runs.select("chrom", "s", "e", "windows", "state", masked.alias("masked"))
+
+
+def scan_windows(reads: DataFrame, width: int, unique: float, quality: int) -> DataFrame:
+    """(chrom, win, cov, chosen) of whole windows over reads(chrom, pos, qual).
+
+    Chosen are those with more than ``unique`` of their reads of ``quality`` and
+    a count strictly within the bounds of A16 over such windows. The window that
+    the chromosome's last place cuts off is none.
+    """
+    size = reads.groupBy("chrom").agg(F.max("pos").alias("size"))
+    w = reads.groupBy("chrom", F.expr(f"pos div {width}").alias("win")).agg(F.count("*").alias("cov"), F.count_if(F.col("qual") >= quality).alias("uniq"))
+    w = w.join(size, "chrom").where(f"win < size div {width}").withColumn("good", F.col("uniq") > unique * F.col("cov"))
+    chosen = F.col("good") & (F.col("cov") > F.col("low")) & (F.col("cov") < F.col("high"))
+    return w.join(F.broadcast(count_bounds(w.where("good")))).select("chrom", "win", "cov", F.coalesce(chosen, F.lit(False)).alias("chosen"))  # one row of bounds
+
+
+def gc_content(sequences: DataFrame, half: int, chunk: int) -> DataFrame:
+    """(chrom, pos, gc): C and G within ``half`` letters of every place from sequences(chrom, seq), 0 where the window leaves the sequence.
+
+    Sequences are cut into chunks that overlap by ``half`` letters on both sides, so no window is ordered over a whole chromosome.
+    """
+    s = sequences.select("chrom", "seq", F.length("seq").alias("n")).where("n > 0")
+    c = s.select("chrom", "n", "seq", F.explode(F.expr(f"sequence(0, cast((n - 1) div {chunk} as int))")).alias("k"))
+    c = c.withColumn("lo", F.greatest(F.col("k") * chunk - half, F.lit(0)))
+    c = c.select("chrom", "n", "k", "lo", F.posexplode(F.split(F.substring("seq", F.col("lo") + 1, (F.col("k") + 1) * chunk + half - F.col("lo")), "")).alias("i", "letter")).where("letter <> ''")
+    w = Window.partitionBy("chrom", "k").orderBy("pos").rowsBetween(-half, half)
+    at = c.withColumn("pos", (F.col("lo") + F.col("i")).cast("long")).withColumn("gc", F.sum(F.col("letter").isin("C", "G", "c", "g").cast("long")).over(w))
+    return at.where(F.expr(f"pos div {chunk}") == F.col("k")).select("chrom", "pos", F.when((F.col("pos") >= half) & (F.col("pos") < F.col("n") - half), F.col("gc")).otherwise(0).alias("gc"))
+
+
+def merged_segments(segments: DataFrame, tolerance: float) -> DataFrame:
+    """segments(chrom, s, e, cn, mappable, sd) with neighbours of like copy number joined: cn, mappable and sd as means by length.
+
+    A segment is compared with the mean so far by log2, copies below 0.03 count
+    as that, negative ones join nothing. A task holds one chromosome's segments.
+    """
+    means = ["cn", "mappable", "sd"]
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for r in g.sort_values(["s", "e"]).to_dict("records"):
+            last = out[-1] if out else None
+            if last and min(last["cn"], r["cn"]) >= 0 and abs(math.log2(max(last["cn"], 0.03) / max(r["cn"], 0.03))) < tolerance:
+                a, b = last["e"] - last["s"], r["e"] - r["s"]
+                last.update({c: (last[c] * a + r[c] * b) / ((a + b) or 1) for c in means}, e=r["e"])
+            else:
+                out.append(r)
+        return pd.DataFrame(out, columns=["chrom", "s", "e", *means])
+
+    return segments.select("chrom", "s", "e", *(F.col(c).cast("double").alias(c) for c in means)).groupBy("chrom").applyInPandas(fold, f"chrom {segments.schema['chrom'].dataType.simpleString()}, s long, e long, cn double, mappable double, sd double")

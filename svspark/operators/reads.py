@@ -22,9 +22,11 @@ def junctions(reads: DataFrame, gap: int, clip: int) -> DataFrame:
     edges = f"if(x.o IN ('D', 'I') AND x.n > {gap}, concat(s.j, array(struct(s.r AS refpos, s.q AS seqpos, false AS `left`), struct({ref} AS refpos, {seq} AS seqpos, true AS `left`))), {{}})"
     clips = put.format(f"x.o IN ('S', 'H') AND x.n > {clip}", "s.r", "s.q + if(s.q = 0, x.n, 0L)", "s.q = 0")
     start = "struct(cast(pos as bigint) AS r, 0L AS q, cast(array() as array<struct<refpos:bigint,seqpos:bigint,left:boolean>>) AS j)"
-    walk = F.expr(f"aggregate({_STEP}, {start}, (s, x) -> struct({ref} AS r, {seq} AS q, {edges.format(clips)} AS j))")
-    at = reads.withColumn("w", walk).select("read", "chrom", "reverse", "qual", F.col("w.q").alias("n"), F.explode("w.j").alias("j")).where("j.seqpos <= n")
-    return at.select("read", "chrom", "j.refpos", F.when(F.col("reverse"), F.col("n") - F.col("j.seqpos")).otherwise(F.col("j.seqpos")).alias("seqpos"), (~F.col("reverse")).alias("forward"), "j.left", "qual")
+    done = "s -> transform(s.j, j -> struct(j.refpos AS refpos, j.seqpos AS seqpos, j.`left` AS `left`, s.q AS n))"
+    walk = F.expr(f"aggregate({_STEP}, {start}, (s, x) -> struct({ref} AS r, {seq} AS q, {edges.format(clips)} AS j), {done})")
+    # The outer form draws no filter from the walk, which would take it twice.
+    at = reads.select("read", "chrom", "reverse", "qual", F.explode_outer(walk).alias("j")).where("j.seqpos <= j.n")
+    return at.select("read", "chrom", "j.refpos", F.when(F.col("reverse"), F.col("j.n") - F.col("j.seqpos")).otherwise(F.col("j.seqpos")).alias("seqpos"), (~F.col("reverse")).alias("forward"), "j.left", "qual")
 
 
 def break_places(reads: DataFrame, gap: int, clip: int) -> DataFrame:
@@ -32,7 +34,7 @@ def break_places(reads: DataFrame, gap: int, clip: int) -> DataFrame:
     ref = "s.r + if(x.o IN ('M', '=', 'X', 'D', 'N'), x.n, 0L)"
     put = f"CASE WHEN x.o = 'D' AND x.n > {gap} THEN concat(s.p, array(s.r, {ref})) WHEN x.o IN ('S', 'H') AND x.n > {clip} THEN concat(s.p, array(s.r)) ELSE s.p END"
     walk = F.expr(f"aggregate({_STEP}, struct(cast(pos as bigint) AS r, cast(array() as array<bigint>) AS p), (s, x) -> struct({ref} AS r, {put} AS p), s -> s.p)")
-    return reads.select("read", "chrom", "size", F.explode(walk).alias("place")).where("place >= 0 and place < size").drop("size")
+    return reads.select("read", "chrom", "size", F.explode_outer(walk).alias("place")).where("place >= 0 and place < size").drop("size")
 
 
 

@@ -79,7 +79,7 @@ def read_break_places(spark, d):
     return rd.break_places(_reads(spark, d), 3, 2)
 
 
-_JUNCTIONS = """SELECT l_orderkey % 4000 AS read, l_suppkey % 2 AS chrom, l_partkey % 997 AS refpos, (l_linenumber * 13 + l_partkey % 50) AS seqpos, l_partkey % 3 > 0 AS forward, l_suppkey % 4 < 2 AS l, CAST(floor(l_quantity) AS BIGINT) AS qual FROM {0}"""
+_JUNCTIONS = """SELECT l_orderkey AS read, l_suppkey % 2 AS chrom, l_partkey % 997 AS refpos, (l_linenumber * 13 + l_partkey % 50) AS seqpos, l_partkey % 3 > 0 AS forward, l_suppkey % 4 < 2 AS l, CAST(floor(l_quantity) AS BIGINT) AS qual FROM {0}"""
 _PAIRED = f"""j AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY seqpos, chrom, refpos, l, forward, qual) AS k FROM ({_JUNCTIONS.format('lineitem')})),
  p AS (SELECT a.read, a.k AS ka, b.k AS kb, a.chrom, least(a.refpos, b.refpos) AS pos, greatest(a.refpos, b.refpos) AS pos2, least(a.seqpos, b.seqpos) AS seqpos, (a.qual + b.qual) // 2 AS qual, a.forward AS f, b.forward AS g, a.l, b.l AS m, b.refpos - a.refpos AS dr, b.seqpos - a.seqpos AS ds, b.seqpos AS hi FROM j a JOIN j b ON a.read = b.read AND a.k < b.k AND a.chrom = b.chrom)"""
 
@@ -305,6 +305,41 @@ def merged_files(spark, d):
     return u.withColumn("nr", F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("file", "id"))).where("nr <= 250").select("chrom", "pos", "file", "id", "nr")
 
 
+_WINS = "SELECT l_suppkey % 10 AS chrom, l_partkey * 100 AS s, l_partkey * 100 + 100 AS e, l_partkey % 13 <> 0 AS valid, sum(l_quantity) * CASE WHEN l_partkey % 7 IN (2, 3, 5) THEN 0.01 ELSE 1 END AS cov, count(*) * CASE WHEN l_partkey % 11 = 0 THEN 0 ELSE 25 END AS expected FROM {0} GROUP BY l_suppkey % 10, l_partkey"
+
+
+@_query(f"""WITH w AS (SELECT chrom, s, e, CASE WHEN NOT valid OR expected <= 0 THEN 'masked' WHEN cov / expected < 0.1 THEN 'low' WHEN cov / expected >= 0.5 THEN 'strong' ELSE 'other' END AS state FROM ({_WINS.format('lineitem')})),
+ r AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY s) - row_number() OVER (PARTITION BY chrom, state ORDER BY s) AS k FROM w), g AS (SELECT chrom, state, k, min(s) AS s, max(e) AS e, count(*) AS n FROM r GROUP BY chrom, state, k),
+ n AS (SELECT *, lag(state) OVER (PARTITION BY chrom ORDER BY s) AS before, lead(state) OVER (PARTITION BY chrom ORDER BY s) AS after FROM g)
+ SELECT chrom, s, e, n AS windows, state, state = 'masked' OR state = 'low' AND NOT (before IS NOT DISTINCT FROM 'strong' AND after IS NOT DISTINCT FROM 'strong' AND e - s <= 250) AS masked FROM n""")
+def loss_runs(spark, d):
+    """W7."""
+    return dp.loss_runs(_view(spark, d, _WINS), 250)
+
+
+@_query(f"""WITH {E_SQL}, z AS (SELECT chrom, max(pos) AS size FROM e GROUP BY chrom), w AS (SELECT chrom, pos // 3600 AS win, count(*) AS cov, count(*) FILTER (qual >= 10) AS uniq FROM e GROUP BY ALL), v AS (SELECT w.*, uniq > 0.7 * cov AS good FROM w JOIN z USING (chrom) WHERE win < size // 3600),
+ m AS (SELECT list_sort(list(cov))[count(*) // 2 + 1] AS med FROM v WHERE good), q AS (SELECT any_value(med) AS med, list_sort(list(abs(cov - med)))[count(*) // 2 + 1] AS mad FROM v, m WHERE good) SELECT chrom, win, cov, coalesce(good AND cov > greatest(med - mad, 0) AND cov < med + mad, FALSE) AS chosen FROM v LEFT JOIN q ON TRUE""")
+def scan_windows(spark, d):
+    """J20, D1."""
+    return dp.scan_windows(evidence(spark, d), 3600, 0.7, 10)
+
+
+_LETTERS = "SELECT item_id AS chrom, text AS seq FROM {0}"
+
+
+@_query("WITH p AS (SELECT item_id, length(text) AS n, unnest(range(length(text))) AS pos, text FROM benchmark), g AS (SELECT item_id AS chrom, n, pos, CASE WHEN substr(text, CAST(pos + 1 AS INT), 1) IN ('c', 'C', 'g', 'G') THEN 1 ELSE 0 END AS gc FROM p) SELECT chrom, pos, CAST(CASE WHEN pos >= 5 AND pos < n - 5 THEN sum(gc) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) ELSE 0 END AS BIGINT) AS gc FROM g")
+def gc_content(spark, d):
+    """C and G within 5 letters of every place."""
+    return dp.gc_content(_view(spark, d, _LETTERS, "benchmark"), 5, 40)
+
+
+@_query()
+def merged_segments(spark, d):
+    """A running fold, so tested by hand."""
+    seg = read(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("chrom"), (F.col("l_partkey") * 100).alias("s")).agg(F.round(F.max("l_quantity") / 12).alias("cn"), F.avg("l_tax").alias("sd"), F.max("l_discount").alias("mappable"))
+    return dp.merged_segments(seg.withColumn("e", F.col("s") + 100), 0.1)
+
+
 @_query()
 def infix_distances(spark, d):
     """F3, F4, F8 of neighbouring sequences; the functions are tested against plain tables."""

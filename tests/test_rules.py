@@ -159,3 +159,13 @@ def test_size_groups_and_least_length(spark):
     assert [r.grp for r in st.size_groups(s).orderBy("id").collect()] == [0, 0, 1, 2, 2, 2]
     chrom = spark.createDataFrame([(x,) for x in (50, 30, 15, 5)], "size long")
     assert [st.least_length(chrom, p).collect()[0].least for p in (0.4, 0.5, 0.95, 1.0)] == [50, 30, 5, 5]
+
+
+def test_segments_runs_and_content(spark):
+    seg = spark.createDataFrame([(1, 0, 100, 2.0, 1.0, 0.1), (1, 100, 400, 2.1, 0.5, 0.3), (1, 400, 500, 3.0, 1.0, 0.1), (1, 500, 600, -1.0, 1.0, 0.1), (1, 600, 700, -1.0, 1.0, 0.1), (2, 0, 10, 2.0, 1.0, 0.1)], "chrom int, s long, e long, cn double, mappable double, sd double")
+    got = [(r.chrom, r.s, r.e, round(r.cn, 6), round(r.mappable, 6), round(r.sd, 6)) for r in dp.merged_segments(seg, 0.1).orderBy("chrom", "s").collect()]
+    assert got == [(1, 0, 400, 2.075, 0.625, 0.25), (1, 400, 500, 3.0, 1.0, 0.1), (1, 500, 600, -1.0, 1.0, 0.1), (1, 600, 700, -1.0, 1.0, 0.1), (2, 0, 10, 2.0, 1.0, 0.1)]
+    win = spark.createDataFrame([(1, i, i + 1, True, c, 10) for i, c in enumerate((9.0, 0.0, 0.5, 9.0, 0.0, 3.0))], "chrom int, s long, e long, valid boolean, cov double, expected long")
+    assert [(r.s, r.e, r.state, r.masked) for r in dp.loss_runs(win, 2).orderBy("s").collect()] == [(0, 1, "strong", False), (1, 3, "low", False), (3, 4, "strong", False), (4, 5, "low", True), (5, 6, "other", False)]
+    gc = dp.gc_content(spark.createDataFrame([(1, "GATTACAg"), (2, "C")], "chrom int, seq string"), 1, 3)
+    assert [(r.chrom, r.pos, r.gc) for r in gc.orderBy("chrom", "pos").collect()] == [(1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 0), (1, 4, 1), (1, 5, 1), (1, 6, 2), (1, 7, 0), (2, 0, 0)]
