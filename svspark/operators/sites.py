@@ -96,7 +96,7 @@ def collapsed(sites: DataFrame, edges: DataFrame) -> DataFrame:
 
     In order of (s, id) a site meets the linked ones before it that still stand:
     the worse of the two (precise, called, ac, qual; the later one on ties)
-    goes. Decisions need only the edges of one component, which is a task's group.
+    goes. Decisions need only the edges of one component; Python holds one, with the small ones beside it in a batch.
     """
     rank = ["precise", "called", "ac", "qual"]
     of = components(edges).withColumnRenamed("node", "a")
@@ -125,7 +125,21 @@ def collapsed(sites: DataFrame, edges: DataFrame) -> DataFrame:
                     break
         return pd.DataFrame({"id": [k[1] for k in gone]}, dtype="int64")
 
-    return sites.join(flat.groupBy("component").applyInPandas(fold, "id long"), "id", "left_anti")
+    def run(frames):
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if len(f):
+                open_ = f["component"] == f["component"].iloc[-1]
+                if not open_.all() or (held and held[-1]["component"].iloc[-1] != f["component"].iloc[-1]):
+                    yield fold(pd.concat([*held, f[~open_]]))
+                    held = []
+                held.append(f[open_])
+        if held:
+            yield fold(pd.concat(held))
+
+    n = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = flat.repartition(n, "component").sortWithinPartitions("component").mapInPandas(run, "id long")
+    return sites.join(gone, "id", "left_anti")
 
 
 def letters_at(places: DataFrame, reference: DataFrame, line: int) -> DataFrame:

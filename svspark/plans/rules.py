@@ -254,7 +254,7 @@ def site_matches(spark, d):
     return p.where(st.sites_match()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-_RED = "SELECT o_orderkey AS id, o_custkey % 3 AS chrom, CASE o_orderkey % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DUP' ELSE 'BND' END AS svt, o_custkey * 20 AS s, o_custkey * 20 + CAST(floor(o_totalprice) AS BIGINT) % 60 + 100 AS e, CAST(floor(o_totalprice) AS BIGINT) % 60 + 100 AS size, o_orderkey % 3 = 0 AS precise, o_orderkey % 7 AS called, o_orderkey % 5 AS ac, o_totalprice AS qual FROM {0}"
+_RED = "SELECT o_orderkey AS id, o_custkey % 3 AS chrom, CASE o_orderkey % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INS' WHEN 2 THEN 'DUP' ELSE 'BND' END AS svt, o_custkey * 60 + o_orderkey % 30 AS s, o_custkey * 60 + o_orderkey % 30 + CAST(floor(o_totalprice) AS BIGINT) % 60 + 100 AS e, CAST(floor(o_totalprice) AS BIGINT) % 60 + 100 AS size, o_orderkey % 3 = 0 AS precise, o_orderkey % 7 AS called, o_orderkey % 5 AS ac, o_totalprice AS qual FROM {0}"
 
 
 @_query(f"WITH k AS ({_RED.format('orders')}) SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.chrom = b.chrom AND a.svt = b.svt AND a.svt <> 'BND' AND b.s BETWEEN a.s AND a.s + 50 AND (a.s < b.s OR a.id < b.id) WHERE (a.svt = 'INS' OR abs(a.e - b.e) <= 50) AND least(a.size, b.size) >= 0.8 * greatest(a.size, b.size)")
