@@ -60,3 +60,11 @@ def spanning(i: DataFrame) -> DataFrame:
     b = i.select("chrom", (F.col("s") + 50).alias("bp")).distinct().withColumn("bin", F.expr("bp div 1000"))
     near = i.select("chrom", "s", "e", F.explode(F.sequence(F.expr("s div 1000"), F.expr("(e - 1) div 1000"))).alias("bin"))
     return b.join(near, ["chrom", "bin"]).where("s <= bp and bp < e").groupBy("chrom", "bp").agg(F.count("*").alias("spanning"))
+
+
+def range_of(x, borders: list, first: int = 0):
+    """Number of the sorted ``borders`` below x, by halving; nulls fall in the last range."""
+    if not borders:
+        return F.lit(first)
+    mid = len(borders) // 2
+    return F.when(x <= borders[mid], range_of(x, borders[:mid], first)).otherwise(range_of(x, borders[mid + 1 :], first + mid + 1))

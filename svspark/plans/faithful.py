@@ -204,13 +204,18 @@ def nearest_boundary(spark, d):
 
 @_query(f"WITH {G_SQL}, v AS (SELECT site, min(ROW(-alt, id, ln)) AS k FROM g GROUP BY site) SELECT site, dense_rank() OVER (ORDER BY site) AS nr, k[2] AS id FROM v")
 def dense_numbers(spark, d):
-    """Sites numbered from 1 in order. Ranges are numbered apart; one offset for each crosses between them."""
+    """Sites numbered from 1 in order. Ranges are numbered apart; one offset for each crosses between them.
+
+    The ranges' borders are taken once and are the same in every branch of the
+    plan: sampled anew by each, they would not fit the offsets.
+    """
     v = genotypes(spark, d).groupBy("site").agg(F.min(F.struct(-F.col("alt"), "id", "ln")).alias("k")).select("site", F.col("k.id").alias("id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = v.repartitionByRange(n, "site").withColumn("p", F.spark_partition_id())
+    borders = v.agg(F.percentile_approx("site", [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else None
+    r = v.withColumn("p", iv.range_of(F.col("site"), sorted(set(borders or []))))
     of = r.groupBy("p").agg(F.count("*").alias("c"))
     base = of.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    return r.join(F.broadcast(base), "p").select("site", (F.row_number().over(Window.partitionBy("p").orderBy("site")) + F.col("o")).alias("nr"), "id")
+    return r.join(F.broadcast(base), "p").select("site", (F.row_number().over(Window.partitionBy("p").orderBy(F.asc_nulls_last("site"))) + F.col("o")).alias("nr"), "id")
 
 
 @_query(f"WITH {C_SQL} SELECT site, CAST(coalesce(sum(gt), 0) AS BIGINT) AS ac, 2 * count(gt) AS an, count(*) FILTER (gt > 0) AS supp, count(*) FILTER (gt IS NULL) AS missing FROM c GROUP BY site")

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from svspark.operators import intervals
 from svspark.plans import catalog, faithful, rules  # noqa: F401  register their queries
@@ -45,3 +46,17 @@ def test_identity_of_whole_sequences(spark, tmp_path):
             new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
         row = new
     assert [(r.ed, r.identity) for r in catalog.queries()["edit_identity"](spark, str(tmp_path)).collect()] == [(row[-1], round(1 - row[-1] / 80, 6))] and row[-1] > 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_dense_numbers_in_several_ranges(spark, tmp_path, n):
+    line = "id % 9000 l_partkey; id l_orderkey; 1 l_linenumber; 1L l_suppkey; 1D l_quantity; (id % 11) / 100D l_discount; 'F' l_linestatus; 'A' l_returnflag"
+    part = spark.range(20000).selectExpr(*line.split("; "))
+    part.union(part.limit(1).withColumn("l_partkey", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        got = catalog.queries()["dense_numbers"](spark, str(tmp_path)).select("site", "nr").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(((r.site is None, r.site or 0), r.nr) for r in got) == [((False, i), i + 1) for i in range(9000)] + [((True, 0), 9001)]
