@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks, buckets_of, linked, lower_words, mix, node_of, parts, smallest_id, stars, table, texts_of, verified, width, word_shingles, written
-from .ngram_join import size_class
+from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, size_class, smallest_id, stars, table, texts_of, verified, width, word_shingles, written
 
 PERMS, BANDS = 64, 16
 _R = np.random.default_rng(7)
@@ -71,7 +70,7 @@ def near_classes(rows: DataFrame, texts: DataFrame, out: str = "class_id") -> Da
                 yield blocks(np.concatenate(keys), np.repeat(cls, BANDS), np.zeros(len(cls) * BANDS, np.int64), np.zeros(len(cls) * BANDS, bool), np.repeat(node, BANDS), buckets)
 
     fresh = rows.where("fresh and n_shingles > 0").select("node", "sig", "n_shingles").mapInArrow(index, BLOCKS)
-    return smallest_id(rows, linked(written(stars(fresh)), lambda ids: written(texts_of(texts, ids)), verified), out)
+    return smallest_id(rows, linked(stars(fresh), lambda ids: written(texts_of(texts, ids)), verified, differences), out)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:

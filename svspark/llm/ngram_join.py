@@ -19,14 +19,12 @@ Candidates and verification: ``linked`` in common.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks, buckets_of, linked, lower_words, mix, node_of, parts, release, smallest_id, stars, table, texts_of, verified, word_shingles, written
+from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, release, size_class, smallest_id, stars, table, texts_of, verified, word_shingles, written
 
 LEAST, TABLE, CHUNK, PER = 16, 1 << 20, 1 << 20, 64
 
@@ -71,11 +69,6 @@ def signature_keys(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def size_class(n: int) -> int:
-    """A ratio of 1.25 (and rounding) wide: sets that link lie in the same or neighbouring classes."""
-    return min(1 + int(math.log(n) / math.log(1.2501)), 1023)
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) of the tokens in more than LEAST sets, counted over every distinct word sequence of a partition.
 
@@ -192,7 +185,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         if size:
             yield blocks(*map(np.concatenate, zip(*held)), buckets)
 
-    comp = linked(written(stars(texts.mapInArrow(index, BLOCKS))), lambda ids: written(texts_of(texts, ids)), verified)
+    rare_first = lambda s: ranks(s, *shared.value)
+    comp = linked(stars(texts.mapInArrow(index, BLOCKS)), lambda ids: written(texts_of(texts, ids)), verified, lambda live, own: differences(live, own, rare_first))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(describe, f"doc_id {kind}, _sv_h long, node long, n_shingles long")
     return smallest_id(written(rows), comp, "component_id")
