@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, size_class, smallest_id, stars, table, texts_of, verified, width, word_shingles, written
 
-PERMS, BANDS = 64, 16
+PERMS, BANDS, ROUNDS = 64, 16, 2
 _R = np.random.default_rng(7)
 _A = _R.integers(1, 2**63, PERMS, dtype=np.uint64) | np.uint64(1)
 _B = _R.integers(0, 2**63, PERMS, dtype=np.uint64)
@@ -69,8 +69,12 @@ def near_classes(rows: DataFrame, texts: DataFrame, out: str = "class_id") -> Da
                 cls = np.array([size_class(n) for n in b.column("n_shingles").to_pylist()])
                 yield blocks(np.concatenate(keys), np.repeat(cls, BANDS), np.zeros(len(cls) * BANDS, np.int64), np.zeros(len(cls) * BANDS, bool), np.repeat(node, BANDS), buckets)
 
+    def deeper(live, own, k):
+        pairs, sure = differences(live, own)
+        return pairs, [sure, verified(pairs, own)]
+
     fresh = rows.where("fresh and n_shingles > 0").select("node", "sig", "n_shingles").mapInArrow(index, BLOCKS)
-    return smallest_id(rows, linked(stars(fresh), lambda ids: written(texts_of(texts, ids)), verified, differences), out)
+    return smallest_id(rows, linked(stars(fresh), lambda ids: written(texts_of(texts, ids)), verified, deeper, ROUNDS), out)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, release, size_class, smallest_id, stars, table, texts_of, verified, word_shingles, written
 
-LEAST, TABLE, CHUNK, PER = 16, 1 << 20, 1 << 20, 64
+LEAST, TABLE, CHUNK, PER, ROUNDS = 16, 1 << 20, 1 << 20, 64, 2
 
 
 def subclasses(n: int) -> int:
@@ -185,8 +185,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         if size:
             yield blocks(*map(np.concatenate, zip(*held)), buckets)
 
-    rare_first = lambda s: ranks(s, *shared.value)
-    comp = linked(stars(texts.mapInArrow(index, BLOCKS)), lambda ids: written(texts_of(texts, ids)), verified, lambda live, own: differences(live, own, rare_first))
+    def deeper(live, own, k):
+        pairs, sure = differences(live, own, lambda s: ranks(s, *shared.value))
+        return pairs, [sure, verified(pairs, own)]
+
+    comp = linked(stars(texts.mapInArrow(index, BLOCKS)), lambda ids: written(texts_of(texts, ids)), verified, deeper, ROUNDS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(describe, f"doc_id {kind}, _sv_h long, node long, n_shingles long")
     return smallest_id(written(rows), comp, "component_id")
