@@ -1,5 +1,8 @@
 import re
+import tempfile
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -287,3 +290,34 @@ def test_pieces_round_trip():
     for t in ("", " ", "Hello  world\n", "ñ 漢字 ▁x", " a" * 100, "\U0001f600 \x00"):
         assert c.decode(c.encode(t)) == t
     assert c.encode(None) == []
+
+
+def test_window_is_the_least_common_run():
+    rate, gram = line_dedup.RATE, line_dedup.GRAM
+    run = lambda m: -(-(m - m // rate) // (m // rate + 1))
+    for n in range(line_dedup.LONG, 1500):
+        partners = [m for m in range(line_dedup.LONG, n + 1) if n - m <= line_dedup.allowed(m)]
+        w = int(line_dedup.window(np.array([n]))[0])
+        assert w + gram - 1 <= min(map(run, partners)) and w + gram - 1 >= 24
+    text = "".join(np.random.default_rng(5).choice(list("abcdefgh "), 600))
+    assert len(line_dedup.long_keys([text] * 50)[0]) < 0.125 * 50 * 600  # some 0.14 keys a code point with windows of 13 at any length
+
+
+@given(st.text("abcd ", min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from("abx"), st.integers(0, 2)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_pair_counts_lose_no_pair(a, edits):
+    b = a
+    for at, c, kind in edits:
+        at = min(at, len(b))
+        b = b[:at] + (c if kind else "") + b[at + (kind != 1):]
+    x, y = line_dedup.pair_counts([a, b]).astype(int)
+    assert abs(x - y).sum() <= 4 * distance(a, b)
+    assert line_dedup._reached(a, b, len(edits)) and (distance(a, b) == 0 or not line_dedup._reached(a, b, distance(a, b) - 1))
+
+
+def test_index_shuffle_goes_with_the_index(spark):
+    stored = lambda: {p.name.split("_")[1] for p in Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*")}
+    before = stored()
+    pairs = line_dedup.stars(line_dedup._keys(frame(spark, [(i, f"line {i % 7} of a text that is long enough to have keys") for i in range(50)]), 2))
+    time.sleep(2)
+    assert not stored() - before and pairs.count()
