@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, size_class, smallest_id, stars, table, texts_of, verified, width, word_shingles, written
+from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, paired, parts, sets_apart, sifted, size_class, smallest_id, stars, table, texts_of, through, verified, width, word_shingles, written
 
 PERMS, BANDS, ROUNDS = 64, 16, 2
 _R = np.random.default_rng(7)
@@ -69,12 +69,18 @@ def near_classes(rows: DataFrame, texts: DataFrame, out: str = "class_id") -> Da
                 cls = np.array([size_class(n) for n in b.column("n_shingles").to_pylist()])
                 yield blocks(np.concatenate(keys), np.repeat(cls, BANDS), np.zeros(len(cls) * BANDS, np.int64), np.zeros(len(cls) * BANDS, bool), np.repeat(node, BANDS), buckets)
 
-    def deeper(live, own, k):
+    def verify(pairs, own):
+        return through(sifted(pairs, own, sets_apart), lambda near: verified(near, own))
+
+    def last(live, own):
+        return through(paired(live, own, sets_apart), lambda near: verified(near, own))
+
+    def deeper(live, own):
         pairs, sure = differences(live, own)
-        return pairs, [sure, verified(pairs, own)]
+        return pairs, [sure, verify(pairs, own)]
 
     fresh = rows.where("fresh and n_shingles > 0").select("node", "sig", "n_shingles").mapInArrow(index, BLOCKS)
-    return smallest_id(rows, linked(stars(fresh), lambda ids: written(texts_of(texts, ids)), verified, deeper, ROUNDS), out)
+    return smallest_id(rows, linked(stars(fresh), lambda ids: written(texts_of(texts, ids)), verify, last, deeper, ROUNDS), out)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, parts, release, size_class, smallest_id, stars, table, texts_of, verified, word_shingles, written
+from .common import BLOCKS, blocks, buckets_of, differences, linked, lower_words, mix, node_of, paired, parts, release, sets_apart, sifted, size_class, smallest_id, stars, table, texts_of, through, verified, word_shingles, written
 
 LEAST, TABLE, CHUNK, PER, ROUNDS = 16, 1 << 20, 1 << 20, 64, 2
 
@@ -185,11 +185,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         if size:
             yield blocks(*map(np.concatenate, zip(*held)), buckets)
 
-    def deeper(live, own, k):
+    def verify(pairs, own):
+        return through(sifted(pairs, own, sets_apart), lambda near: verified(near, own))
+
+    def last(live, own):
+        return through(paired(live, own, sets_apart), lambda near: verified(near, own))
+
+    def deeper(live, own):
         pairs, sure = differences(live, own, lambda s: ranks(s, *shared.value))
-        return pairs, [sure, verified(pairs, own)]
+        return pairs, [sure, verify(pairs, own)]
 
-    comp = linked(stars(texts.mapInArrow(index, BLOCKS)), lambda ids: written(texts_of(texts, ids)), verified, deeper, ROUNDS)
+    comp = linked(stars(texts.mapInArrow(index, BLOCKS)), lambda ids: written(texts_of(texts, ids)), verify, last, deeper, ROUNDS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("_sv_h"), "text").mapInArrow(describe, f"doc_id {kind}, _sv_h long, node long, n_shingles long")
     return smallest_id(written(rows), comp, "component_id")

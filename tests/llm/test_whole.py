@@ -268,3 +268,23 @@ def test_near_copies_off_the_link(spark, monkeypatch, changed, tails):
     got = dict(ngram_join.ngram_components(docs).select("doc_id", "component_id").collect())
     assert [got[i] for i in range(len(texts))] == _links(texts)
     assert tails or sum(tried) < 25 * len(texts)
+
+
+def test_lines_of_one_key_apart(spark, monkeypatch):
+    """Lines of one long group, most of them apart but of the same code points, some alike: links as by brute force, and no table of all their pairs."""
+    rng = random.Random(3)
+    lines, tail = [], list("abcdefghijklmnopqrstuvwxyz0123456789")
+    for _ in range(220):
+        rng.shuffle(tail)
+        x = "a head that all have " + "".join(tail)
+        lines += [x] + [x.replace(rng.choice(tail), "") for _ in range(rng.choice((0, 0, 1)))]
+    tried, real = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: tried.append(pairs.distinct().count()) or real(pairs, *a))
+    monkeypatch.setattr("svspark.llm.common.BLOCK", 50, raising=False)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = dict(line_dedup.line_classes(docs).collect())
+    ids = [line_dedup.line_id(x) for x in lines]
+    cls = groups(range(len(lines)), lambda i, j: line_dedup.within(lines[i], lines[j], 2))
+    assert len(set(cls.values())) < len(lines) and {frozenset(i for i in got if got[i] == c) for c in got.values()} - {frozenset([i]) for i in got} == {
+        frozenset(ids[i] for i in cls if cls[i] == c) for c in cls.values()} - {frozenset([i]) for i in ids}
+    assert sum(tried) < 25 * len(lines)
