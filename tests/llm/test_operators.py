@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from svspark.llm import decontaminate, language, line_dedup, minhash, ngram_join, pii, sstable, suffix_dedup, url_filter
+from svspark.llm.common import mix, set_counts, sets_apart
 
 BASE = " ".join(f"wort{i}" for i in range(200))
 
@@ -321,3 +322,17 @@ def test_index_shuffle_goes_with_the_index(spark):
     pairs = line_dedup.stars(line_dedup._keys(frame(spark, [(i, f"line {i % 7} of a text that is long enough to have keys") for i in range(50)]), 2))
     time.sleep(2)
     assert not stored() - before and pairs.count()
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400), st.integers(0, 60), st.integers(0, 60))
+@settings(max_examples=100, deadline=None)
+def test_set_counts_lose_no_link(s, gone, new):
+    """What the counts tell apart is never more than the symmetric difference, and no pair that links is beyond the bound."""
+    a = np.array(sorted(s), np.uint64)
+    b = np.concatenate((a[gone:], mix(np.arange(new + (gone >= len(a)), dtype=np.uint64) + np.uint64(7))))
+    x, y = (np.frombuffer(set_counts(z), np.uint8).astype(int) for z in (a, b))
+    both = len(set(a.tolist()) & set(b.tolist()))
+    n, m = len(set(a.tolist())), len(set(b.tolist()))
+    assert abs(x - y).sum() <= n + m - 2 * both + (len(b) - m)
+    if 100 * both >= 80 * (n + m - both) and len(b) == m:
+        assert abs(x - y).sum() <= sets_apart(np.array([n]), np.array([m]))[0]
