@@ -1,3 +1,4 @@
+import random
 import re
 import tempfile
 import time
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from svspark.llm import decontaminate, language, line_dedup, minhash, ngram_join, pii, sstable, suffix_dedup, url_filter
-from svspark.llm.common import mix, set_counts, sets_apart
+from svspark.llm.common import BLOCKS, blocks, buckets_of, mix, set_counts, sets_apart
 
 BASE = " ".join(f"wort{i}" for i in range(200))
 
@@ -336,3 +337,27 @@ def test_set_counts_lose_no_link(s, gone, new):
     assert abs(x - y).sum() <= n + m - 2 * both + (len(b) - m)
     if 100 * both >= 80 * (n + m - both) and len(b) == m:
         assert abs(x - y).sum() <= sets_apart(np.array([n]), np.array([m]))[0]
+
+
+def test_only_keys_of_two_lines_travel(spark):
+    """Lines without a partner leave a few bytes, not their keys; whoever meets with all keys does so with those that travel."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in range(24, 424)]
+    alone = line_dedup._keys(frame(spark, list(enumerate(lines))), 2)
+    sent = sum(len(r.entry) // 8 for r in alone.collect())
+    assert sent < 400  # some 13000 keys
+    text = [*lines, *(x[:9] + "#" + x[10:] for x in lines[::3]), *lines[::7]]
+    docs = frame(spark, list(enumerate(text))).repartition(3)
+    got = {tuple(r) for r in line_dedup.stars(line_dedup._keys(docs, 2)).collect()}
+    buckets = buckets_of(spark)
+    ids, held = np.array([line_dedup.line_id(x) for x in text]), []
+    for x in range(len(text)):
+        n = len(text[x])
+        if n < line_dedup.LONG + 2:
+            r, key, own = line_dedup.keys_of([text[x]], 2)
+            held.append((key.view(np.uint64), r * 0, r * 0, ~own, ids[r + x]))
+        if n >= line_dedup.LONG:
+            r, key, place = line_dedup.long_keys([text[x]])
+            held.append((key, line_dedup.length_class(np.full(len(r), n)), place, np.zeros(len(r), bool), ids[r + x]))
+    every = spark.createDataFrame(blocks(*map(np.concatenate, zip(*held)), buckets).to_pandas(), BLOCKS)
+    assert got == {tuple(r) for r in line_dedup.stars(every).collect()} and len(got) > 100
