@@ -49,8 +49,8 @@ def by_band(rows: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
 
 
 def size_groups(sites: DataFrame) -> DataFrame:
-    """sites(component, id, size) plus grp, numbered from 0 by size: a step above 50 and a quarter of the larger size opens a group."""
-    w = Window.partitionBy("component").orderBy("size", "id")
+    """sites(component, id, size) plus grp, numbered from 0 by size: a step above 50 and a quarter of the larger size opens a group. Sites without size come last, as in SQL."""
+    w = Window.partitionBy("component").orderBy(F.asc_nulls_last("size"), F.asc_nulls_last("id"))
     wide = F.greatest(F.lit(50), F.floor(F.lit(0.25) * F.greatest(F.col("size"), F.lit(1))))
     opened = F.coalesce((F.col("size") - F.lag("size").over(w) > wide).cast("int"), F.lit(0))
     return sites.withColumn("o", opened).withColumn("grp", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("o")

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from svspark.functions import sequences as sq
 from svspark.operators import depth as dp
 from svspark.operators import reads as rd
 from svspark.operators import sites as st
-from svspark.plans import rules
+from svspark.plans import catalog, rules
 
 DATA = "/root/testdata/sf0.001"
 
@@ -169,3 +170,13 @@ def test_segments_runs_and_content(spark):
     assert [(r.s, r.e, r.state, r.masked) for r in dp.loss_runs(win, 2).orderBy("s").collect()] == [(0, 1, "strong", False), (1, 3, "low", False), (3, 4, "strong", False), (4, 5, "low", True), (5, 6, "other", False)]
     gc = dp.gc_content(spark.createDataFrame([(1, "GATTACAg"), (2, "C")], "chrom int, seq string"), 1, 3)
     assert [(r.chrom, r.pos, r.gc) for r in gc.orderBy("chrom", "pos").collect()] == [(1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 0), (1, 4, 1), (1, 5, 1), (1, 6, 2), (1, 7, 0), (2, 0, 0)]
+
+
+def test_size_groups_with_nulls_and_twins(spark, tmp_path):
+    """Sites without size are in the last group, as in SQL; rows equal in all the columns of the order are in one group."""
+    line = spark.createDataFrame([(1, 1, 1.0), (1, 2, 40.0), (1, 2, 40.0), (1, 3, None), (2, 1, None), (None, 1, 5.0), (None, 2, 50.0)], "l_orderkey long, l_linenumber int, l_quantity double")
+    line.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(map(tuple, rules.size_groups(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalog.oracle_sql()["size_groups"]).fetchall(), key=str) and (1, 3, None, 1) in got and got.count((1, 2, 400, 1)) == 2
