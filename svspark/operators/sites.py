@@ -39,6 +39,27 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def band_components(rows: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """(node, component) of rows(id, keys, at) linked where they are equal in ``keys`` with ``at`` at most ``width`` apart, without their pairs.
+
+    In order of ``at`` a step above ``width`` opens a run; a run of two places or
+    ids is one component, named by its smallest id. Only ids in several runs
+    need rounds, over their runs' names. A task orders the rows of one of ``keys``.
+    """
+    w, run = Window.partitionBy(*keys).orderBy(at), Window.partitionBy(*keys, "_run")
+    r = rows.select("id", *keys, at).dropna()
+    r = r.withColumn("_open", F.coalesce((F.col(at) - F.lag(at).over(w) > width).cast("long"), F.lit(0))).withColumn("_run", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    name = F.min("id").over(run)
+    r = r.select("id", name.alias("m"), ((name < F.max("id").over(run)) | (F.min(at).over(run) < F.max(at).over(run))).alias("two")).where("two")
+    of = _lineage_cut(r.groupBy("id").agg(F.min("m").alias("component"), F.max("m").alias("z")))
+    several, of = of.where("component <> z").select("id", F.col("component").alias("a")), of.select(F.col("id").alias("node"), "component")
+    if several.isEmpty():
+        return of
+    more = r.join(several, "id").select("a", F.col("m").alias("b"))
+    name = components(more).select(F.col("node").alias("component"), F.col("component").alias("c"))
+    return of.join(name, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+
+
 def by_band(rows: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
     """Pairs (structs a, b) of rows equal in ``keys`` with |a.at - b.at| <= width and a before b by (at, id); only one side is doubled."""
     side = lambda x, extra: rows.select(*keys, F.struct(*rows.columns).alias(x), extra.alias("bin"))

@@ -232,8 +232,7 @@ _EDGES = f"{E_SQL}, b AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.chr
 @_query(f"WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM b UNION SELECT b, a FROM b), c AS (SELECT a AS node, a AS r FROM u UNION SELECT u.a, c.r FROM c JOIN u ON u.b = c.node) SELECT node, min(r) AS component FROM c GROUP BY node")
 def band_components(spark, d):
     """Components of the graph of neighbouring evidence."""
-    e = st.by_band(evidence(spark, d), ["chrom", "svt"], "pos", 30).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return st.components(e)
+    return st.band_components(evidence(spark, d), ["chrom", "svt"], "pos", 30)
 
 
 @_query("WITH s AS (SELECT l_orderkey AS component, l_linenumber AS id, CAST(floor(l_quantity * 10) AS BIGINT) AS size FROM lineitem), o AS (SELECT *, CASE WHEN size - lag(size) OVER w > greatest(50, CAST(floor(0.25 * greatest(size, 1)) AS BIGINT)) THEN 1 ELSE 0 END AS o FROM s WINDOW w AS (PARTITION BY component ORDER BY size, id)) SELECT component, id, size, CAST(sum(o) OVER (PARTITION BY component ORDER BY size, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM o")

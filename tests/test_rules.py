@@ -204,3 +204,26 @@ def test_segments_pass_in_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == want and "FlatMapGroups" not in plan and len(want) < len(rows)
+
+
+def test_band_components_without_pairs(spark):
+    """Many rows in one band make no pairs; ids in several runs join them, twins alone make no component."""
+    r = random.Random(6)
+    rows = [(i % 90, i % 2, r.randrange(4000)) for i in range(150)] + [(200, 0, 9000), (200, 0, 9000), (201, 0, 9500), (201, 0, 9510), (202, 1, None)]
+    link = {}
+    for i, (x, c, p) in enumerate(rows):
+        for j, (y, d, q) in enumerate(rows):
+            if i != j and c == d and None not in (p, q) and abs(p - q) <= 10 and (p != q or x != y):
+                link.setdefault(x, set()).add(y)
+    want = {}
+    for x in sorted(link):
+        todo = [x]
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += link[y]
+    sites = spark.createDataFrame(rows, "id long, chrom int, pos long")
+    got = st.band_components(sites, ["chrom"], "pos", 10).collect()
+    assert {x.node: x.component for x in got} == want and len(got) == len(want) > 30 and 201 in want and 200 not in want
+    dense = st.band_components(spark.range(3000).selectExpr("id", "1 chrom", "id % 7 pos"), ["chrom"], "pos", 10)
+    assert "Join" not in dense._jdf.queryExecution().toString() and {tuple(x) for x in dense.collect()} == {(i, 0) for i in range(3000)}
