@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+STRETCH = 100
+
 
 def _lineage_cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the folder of spark.checkpoint.dir; only in local mode a temporary one stands in."""
@@ -163,6 +166,58 @@ def collapsed(sites: DataFrame, edges: DataFrame) -> DataFrame:
     return sites.join(gone, "id", "left_anti")
 
 
+def collapsed_near(sites: DataFrame, distance: int, ratio: float) -> DataFrame:
+    """C8 over the links of ``near_sites``: as ``collapsed`` of these, without their pairs and components.
+
+    Sites of one chrom and svt pass through Python in order of (s, id), which
+    holds those within ``distance`` that still stand. Bins of places whose first
+    site lies farther than ``distance`` behind all before begin a new stretch,
+    which no link crosses, so a chromosome is dealt over tasks.
+    """
+    rank = ["precise", "called", "ac", "qual"]
+    k = sites.where("svt <> 'BND' and s is not null and chrom is not null").withColumn("bin", F.floor(F.col("s") / F.lit(STRETCH * (distance + 1))))
+    w = Window.partitionBy("chrom", "svt").orderBy("bin")
+    ends = k.groupBy("chrom", "svt", "bin").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    opened = F.coalesce((F.col("lo") - F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) > distance).cast("long"), F.lit(0))
+    of = ends.withColumn("o", opened).select("chrom", "svt", "bin", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    number = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in rank]
+    flat = k.join(of, ["chrom", "svt", "bin"]).select("chrom", "svt", "stretch", "s", "id", "e", "size", *number)
+    names = flat.columns
+
+    def fits(x, y):
+        if x[1] != "INS" and (x[5] is None or y[5] is None or abs(x[5] - y[5]) > distance):
+            return False
+        sizes = [z for z in (x[6], y[6]) if z is not None]
+        return bool(sizes) and (max(sizes) <= 0 or min(sizes) >= ratio * max(sizes))
+
+    def run(batches):
+        key, stand = None, []
+        for b in batches:
+            gone = []
+            for x in zip(*(b.column(c).to_pylist() for c in names)):
+                if x[:3] != key:
+                    key, stand = x[:3], []
+                stand, keep = [y for y in stand if x[3] - y[3] <= distance], True
+                left = []
+                for i, y in enumerate(stand):
+                    if y[4] != x[4] and fits(y, x):
+                        if x[7:] > y[7:]:
+                            gone.append(y[4])
+                            continue
+                        gone.append(x[4])
+                        left += stand[i:]
+                        keep = False
+                        break
+                    left.append(y)
+                stand = left
+                if keep:
+                    stand.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, b.schema.field("id").type)], ["id"])
+
+    gone = flat.repartition("chrom", "svt", "stretch").sortWithinPartitions("chrom", "svt", "stretch", "s", "id").mapInArrow(run, flat.select("id").schema)
+    return sites.join(gone.distinct(), "id", "left_anti")
+
+
 def letters_at(places: DataFrame, reference: DataFrame, line: int) -> DataFrame:
     """places(chrom, pos, ...) plus base, from reference(chrom, line, seq) in lines of ``line`` letters; positions count from 1, N where there is none."""
     got = places.withColumn("line", F.expr(f"(pos - 1) div {line}")).join(reference, ["chrom", "line"], "left")

@@ -266,7 +266,7 @@ def near_sites(spark, d):
 def redundant_collapse(spark, d):
     """Greedy, so tested against a plain loop."""
     sites = _view(spark, d, _RED, "orders")
-    return st.collapsed(sites, st.near_sites(sites, 50, 0.8)).select("id", "chrom", "svt", "s", "e")
+    return st.collapsed_near(sites, 50, 0.8).select("id", "chrom", "svt", "s", "e")
 
 
 @_query("WITH z AS (SELECT l_suppkey % 50 AS chrom, max(l_partkey * 100 + l_linenumber) AS size FROM lineitem GROUP BY ALL), u AS (SELECT size, sum(size) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS n FROM z) SELECT coalesce(max(size) FILTER (upto > 0.95 * n), min(size)) AS least FROM u")

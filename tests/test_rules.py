@@ -255,3 +255,16 @@ def test_depth_against_plain_sums(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {x.id: [x.rc_l, x.rc_m, x.rc_r] for x in got} == want and len(got) == len(sv) and any(sum(v) for v in want.values())
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the events' ids alone
+
+
+def test_collapse_in_order_of_place(spark):
+    """Crowded sites in one stretch and in several: as by pairs and components, of which the plan has neither."""
+    r = random.Random(9)
+    rows = [(i, i % 2, r.choice(["DEL", "INS", "BND"]), s := r.randrange(3000) + r.choice([0, 40000]), s + r.randrange(100, 160), r.choice([0, 100, 110, 130, None]), r.random() < 0.5, r.randrange(3), r.randrange(3), r.random()) for i in range(1500)]
+    sites = spark.createDataFrame(rows, "id long, chrom int, svt string, s long, e long, size long, precise boolean, called int, ac int, qual double").repartition(6)
+    want = {x.id for x in st.collapsed(sites, st.near_sites(sites, 50, 0.8)).collect()}
+    out = st.collapsed_near(sites, 50, 0.8)
+    got = [x.id for x in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < 1200
+    plan = rules.redundant_collapse(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "LogicalRDD" not in plan  # stretches of bins, and those gone
